@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import exact, lines
+from behaviorlens.llm import dac, exact, lines, packing
 from behaviorlens.llm.common import read
 
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {}
 ORACLES = {}
 
@@ -49,3 +57,17 @@ SELECT doc_id,
        sha256(t) AS text_sha256
 FROM d
 """
+
+
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keeps_space=False, end_id=1)
+
+
+QUERIES["op9_token_ids"] = op9_token_ids
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), keeps_space=True, end_id=0, max_tokens=1024)
+
+
+QUERIES["op10_packing"] = op10_packing
