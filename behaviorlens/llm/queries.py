@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import dac, exact, lines, packing
+from behaviorlens.llm import dac, exact, lines, neardup, packing
 from behaviorlens.llm.common import read
 
 
@@ -59,6 +59,13 @@ FROM d
 """
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents")).drop("r1", "r2")
+
+
+QUERIES["op5_minhash"] = op5_minhash
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keeps_space=False, end_id=1)
 
