@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import dac, exact, lines, neardup, packing
+from behaviorlens.llm import dac, exact, langid, lines, neardup, packing, quality
 from behaviorlens.llm.common import read
 
 
@@ -20,6 +20,13 @@ QUERIES = {}
 ORACLES = {}
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES["op1_quality"] = op1_quality
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.drop_frequent_lines(read(spark, sf_dir, "documents"), min_docs=10, min_key_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -66,6 +73,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_minhash"] = op5_minhash
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op7_language_id"] = op7_language_id
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keeps_space=False, end_id=1)
 
