@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import chat, dac, exact, langid, lines, neardup, packing, quality
+from behaviorlens.llm import chat, dac, exact, langid, lines, neardup, packing, quality, sketch
 from behaviorlens.llm.common import read
 
 
@@ -103,6 +103,13 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_minhash"] = op5_minhash
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.compare_with_edits(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_fingerprints"] = op6_fingerprints
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
