@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import chat, dac, exact, langid, lines, neardup, packing, quality, sketch
+from behaviorlens.llm import chat, dac, exact, langid, lines, mixing, neardup, packing, quality, sketch
 from behaviorlens.llm.common import read
 
 
@@ -117,6 +117,69 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_language_id"] = op7_language_id
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    found = mixing.mix(docs, keep=mixing.KEEP, temperature=mixing.TEMPERATURE, seed=0)
+    return found.select(
+        "doc_id",
+        F.col("__source").alias("source"),
+        F.col("__lang").alias("lang"),
+        F.col("__topic").alias("topic"),
+        F.col("__tokens").cast("long").alias("n_tokens"),
+        F.round("__rate", 6).alias("rate"),
+        F.round("__probability", 6).alias("probability"),
+        F.col("__selected").alias("selected"),
+    )
+
+
+def _mixing_sql() -> str:
+    """The same raking unrolled: a factor table for each step, then the steps towards the budget."""
+    dims, power = mixing.DIMENSIONS, mixing.TEMPERATURE
+    parts = [
+        """d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS text,
+         greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')))::DOUBLE AS tokens
+  FROM documents
+)""",
+        "t AS (SELECT *, CASE WHEN contains(text, ' | ') THEN 'table' WHEN tokens < 100 THEN 'short' WHEN tokens < 1000 THEN 'medium' ELSE 'long' END AS topic FROM d)",
+        "cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM t GROUP BY ALL)",
+        "total AS (SELECT sum(tokens) AS n FROM cells)",
+    ]
+    factor = {}
+    for d in dims:
+        parts.append(f"p_{d} AS (SELECT {d}, pow(sum(tokens), {power}::DOUBLE) AS p FROM cells GROUP BY {d})")
+        parts.append(f"s_{d} AS MATERIALIZED (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
+        parts.append(f"f_{d}_0 AS (SELECT {d}, 1.0::DOUBLE AS f FROM s_{d})")
+        factor[d] = f"f_{d}_0"
+    for k in range(1, mixing.ROUNDS + 1):
+        for d in dims:
+            a, b = (o for o in dims if o != d)
+            parts.append(
+                f"f_{d}_{k} AS MATERIALIZED (SELECT c.{d}, any_value(s.share) * (SELECT n FROM total) / sum(c.tokens * x.f * y.f) AS f FROM cells c "
+                f"JOIN {factor[a]} x ON x.{a} = c.{a} JOIN {factor[b]} y ON y.{b} = c.{b} JOIN s_{d} s ON s.{d} = c.{d} GROUP BY c.{d})"
+            )
+            factor[d] = f"f_{d}_{k}"
+    joins = " ".join(f"JOIN {factor[d]} r_{d} ON r_{d}.{d} = c.{d}" for d in dims)
+    parts.append(f"raked AS MATERIALIZED (SELECT c.*, {' * '.join(f'r_{d}.f' for d in dims)} AS rate FROM cells c {joins})")
+    parts.append(f"c_0 AS (SELECT {mixing.KEEP}::DOUBLE AS c)")
+    for k in range(1, mixing.STEPS + 1):
+        parts.append(
+            f"c_{k} AS MATERIALIZED (SELECT greatest(any_value(c), ({mixing.KEEP}::DOUBLE * (SELECT n FROM total) - coalesce(sum(tokens) FILTER (WHERE rate * c >= 1), 0)) "
+            f"/ nullif(sum(tokens * rate) FILTER (WHERE rate * c < 1), 0)) AS c FROM raked, c_{k - 1})"
+        )
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, t.source, t.lang, t.topic, t.tokens::BIGINT AS n_tokens, round(rate, 6) AS rate, round(least(1.0, rate * c), 6) AS probability,
+       ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < least(1.0, rate * c) AS selected
+FROM t JOIN raked USING (source, lang, topic), c_{mixing.STEPS}
+"""
+    )
+
+
+QUERIES["op8_mixing"] = op8_mixing
+ORACLES["op8_mixing"] = _mixing_sql()
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.encode_and_read(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keeps_space=False, end_id=1)
 
