@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from behaviorlens.plans import daily_queries, evaluation_queries, graph_queries, serving_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (daily_queries, evaluation_queries, graph_queries, serving_queries)
+QUERIES = {n: q for m in _MODULES for n, q in m.QUERIES.items()}
+ORACLES = {n: q for m in _MODULES for n, q in m.ORACLES.items()}
