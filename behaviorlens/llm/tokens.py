@@ -14,15 +14,13 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words that a Python worker remembers, for each of the two ways in which a word can stand.
-KNOWN_WORDS = 300_000
+#: Words as they stand in texts, and words without their punctuation, that a Python worker remembers.
+KNOWN_WORDS, KNOWN_BASES = 800_000, 1_000_000
 #: Words that go to the library in one text.
 TOGETHER = 512
 #: Texts whose words are looked up together, and the code points at which a long text is cut.
-TEXTS, LONG = 64, 500_000
+TEXTS, LONG = 256, 500_000
 
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_IRREGULAR = re.compile(r"[ \n]{2}|\A[ \n]|[ \n]\Z")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Latin-1 letters, then ASCII punctuation without the apostrophe: these two never share a token.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -35,65 +33,81 @@ class WordEncoder:
     drops white space. Special tokens' strings in a text are ordinary text.
     """
 
-    def __init__(self, path: str, keeps_space: bool, known_words: int = KNOWN_WORDS):
+    def __init__(self, path: str, keeps_space: bool, known_words: int = KNOWN_WORDS, known_bases: int = KNOWN_BASES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.keeps_space, self.known_words = keeps_space, known_words
+        self.keeps_space, self.known_words, self.known_bases = keeps_space, known_words, known_bases
         # A mark between words whose id no word has: the line feed, or a NUL that stands alone.
         self.mark, self.glue = ("\n", "\n") if keeps_space else ("\x00", " \x00 ")
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_bytes = np.uint32(self.mark_id).tobytes()
+        # Words after the start of a line, and after a blank; the same without punctuation.
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
+        self.bases: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
-        """Encodes the words that aren't known; a word and the punctuation after it go apart."""
-        new = [w for w in words if w not in known]
-        parts, todo, tails = [], set(), set()
+    def _ids_of(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
+        """The ids of each word. Those that aren't known are encoded, and remembered while there is room."""
+        out = {w: known.get(w) for w in words}
+        new = [w for w, ids in out.items() if ids is None]
+        found = self._encode_new(new, lead)
+        out.update(found)
+        if len(known) < self.known_words:
+            known.update(found)
+        return out
+
+    def _encode_new(self, new: list[str], lead: str) -> dict[str, bytes]:
+        """Encodes words; a word and the punctuation after it go apart, and each is encoded once."""
+        bases, tails = self.bases[lead], self.bases[""]
+        parts, whole, todo, ends = [], [], set(), set()
         for w in new:
             if m := _WORD.fullmatch(w):
                 base, tail = m.groups()
                 if not self.keeps_space:  # it lower-cases too
                     base = base.lower()
-                if base != w:
-                    parts.append((w, base, tail))
-                    if tail and tail not in self.bare:
-                        tails.add(tail)
-                if base not in known:
+                parts.append((w, base, tail))
+                if base not in bases:
                     todo.add(base)
+                if tail not in tails:
+                    ends.add(tail)
             else:
-                todo.add(w)
-        self._encode_words(known, list(todo), lead)
-        self._encode_words(self.bare, list(tails), "")
-        self.bare.setdefault("", b"")
+                whole.append(w)
+        out = self._encode_words(whole, lead)
+        fresh, fresh_tails = self._encode_words(list(todo), lead), self._encode_words(list(ends), "")
         for w, base, tail in parts:
-            known[w] = known[base] + self.bare[tail]
-        todo.update(new)
-        return list(todo)
+            ids = fresh[base] if base in todo else bases[base]
+            out[w] = ids + (fresh_tails[tail] if tail in ends else tails[tail]) if tail else ids
+        for of, more in ((bases, fresh), (tails, fresh_tails)):
+            if len(of) < self.known_bases:
+                of.update(more)
+        return out
 
-    def _encode_words(self, known: dict[str, bytes], new: list[str], lead: str) -> None:
+    def _encode_words(self, new: list[str], lead: str) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
         for i in range(0, len(new), TOGETHER):
             part = new[i : i + TOGETHER]
             ids = np.array(self.tokenizer.encode(lead + (self.glue + lead).join(part), add_special_tokens=False).ids, "<u4")
             marks = np.flatnonzero(ids == self.mark_id)
             if len(marks) != len(part) - 1:  # a word holds the mark
-                known.update((w, self._whole(lead + w)) for w in part)
+                out.update((w, self._whole(lead + w)) for w in part)
                 continue
             data, ends = ids.tobytes(), [*(4 * marks).tolist(), 4 * len(ids)]
             start = 0
             for w, end in zip(part, ends):
-                known[w] = data[start:end]
+                out[w] = data[start:end]
                 start = end + 4
+        return out
 
-    def _forget(self, known: dict[str, bytes], new: list[str]) -> None:
-        if len(known) > self.known_words:
-            for w in new:
-                known.pop(w, None)
+    @staticmethod
+    def _is_regular(text: str) -> bool:
+        """Single blanks and line feeds between words, and no other white space."""
+        flat = text.replace("\n", " ")
+        return bool(text) and " ".join(flat.split()) == flat
 
     def _slices(self, text: str) -> Iterator[str]:
         """A long text in parts that can be encoded one by one."""
@@ -106,22 +120,16 @@ class WordEncoder:
     def _batch(self, texts: list[str]) -> list[bytes]:
         if not self.keeps_space:
             split = [t.replace("\n", " ").split(" ") for t in texts]
-            new = self._learn(self.bare, set().union(*split), "")
-            out = [b"".join(map(self.bare.__getitem__, words)) for words in split]
-            self._forget(self.bare, new)
-            return out
-        plain = [None if _OTHER_SPACE.search(t) or _IRREGULAR.search(t) or not t else [x.split(" ") for x in t.split("\n")] for t in texts]
-        heads = {x[0] for lines in plain if lines for x in lines}
+            get = self._ids_of(self.bare, set().union(*split), "").__getitem__
+            return [b"".join(map(get, words)) for words in split]
+        plain = [[x.split(" ") for x in t.split("\n")] if self._is_regular(t) else None for t in texts]
         rest: set[str] = set()
         for lines in plain:
             for x in lines or ():
                 rest.update(x[1:])
-        new = self._learn(self.bare, heads, ""), self._learn(self.spaced, rest, " ")
-        get = self.spaced.__getitem__
-        out = [self._whole(t) if lines is None else self.mark_bytes.join(self.bare[x[0]] + b"".join(map(get, x[1:])) for x in lines) for t, lines in zip(texts, plain)]
-        self._forget(self.bare, new[0])
-        self._forget(self.spaced, new[1])
-        return out
+        bare = self._ids_of(self.bare, {x[0] for lines in plain if lines for x in lines}, "")
+        get = self._ids_of(self.spaced, rest, " ").__getitem__
+        return [self._whole(t) if lines is None else self.mark_bytes.join([bare[x[0]] + b"".join(map(get, x[1:])) for x in lines]) for t, lines in zip(texts, plain)]
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; null as empty."""
@@ -142,11 +150,11 @@ class WordEncoder:
 
     def _led(self, part: str) -> bytes:
         """A part that begins with a single blank before a word."""
-        if _OTHER_SPACE.search(part) or _IRREGULAR.search(part, 1):
+        if not self._is_regular(part[1:]):
             return self._whole(part)
         first, _, after = part[1:].partition("\n")
-        self._learn(self.spaced, set(words := first.split(" ")), " ")
-        out = b"".join(map(self.spaced.__getitem__, words))
+        words = first.split(" ")
+        out = b"".join(map(self._ids_of(self.spaced, set(words), " ").__getitem__, words))
         return out + self.mark_bytes + self._batch([after])[0] if after else out
 
 
