@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens import config as C
+from behaviorlens.operators.evaluation import folds
 
 
 def assemble(rows: DataFrame, names: tuple[str, ...] = C.FEATURES, out: str = "features") -> DataFrame:
@@ -36,3 +41,21 @@ def perceptron(train: DataFrame, width: int, seed: int = 42, epochs: int = 50):
 
 def scores(model, rows: DataFrame, *keys: str) -> DataFrame:
     return model.transform(rows).select(*keys, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
+
+
+def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame, Column], DataFrame], n: int = 5, seed: int = 42) -> DataFrame:
+    """The scores of all rows, each by a model that hasn't seen its user.
+
+    Users are dealt to `n` folds, those with a positive row evenly. `fit` takes all rows and which
+    of them are held out, fits on the others and returns the scores of those held out.
+    """
+    sc = rows.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:  # the trees cut their lineage there too
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    rows = rows.checkpoint()
+    users = rows.groupBy("user").agg(F.max("label").alias("_p"))
+    rows = rows.join(folds(users, n, seed, F.col("_p")).drop("_p"), "user").checkpoint()
+    used = sorted(r.fold for r in rows.select("fold").distinct().collect())  # at most n
+    if not used:
+        raise ValueError("there are no rows to fit on")
+    return reduce(DataFrame.unionByName, [fit(rows, F.col("fold") == k) for k in used])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorlens import config as C
@@ -12,7 +12,6 @@ from behaviorlens.operators import daily as D
 from behaviorlens.operators import models as M
 from behaviorlens.operators import scoring as S
 from behaviorlens.operators import windows as W
-from behaviorlens.operators.evaluation import holdout
 from behaviorlens.plans import daily_queries as DQ
 from behaviorlens.plans import testviews as V
 
@@ -87,20 +86,34 @@ ORACLES["window_vectors"] = f"{DQ.WITH},\n{DQ.ZW_SQL}\nSELECT \"user\", start::I
 
 
 def mlp_user_day_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a perceptron on daily features for users that it hasn't seen."""
+    """Probabilities of a perceptron on daily features, of every day by a model that hasn't seen its user."""
     rows = D.label_days(DQ.features(spark, sf_dir), D.malicious_days(V.insiders(spark, sf_dir))).withColumnRenamed("is_malicious", "label")
-    rows = M.assemble(S.standardised(rows.withColumn("held", holdout(rows, 0.2, 42)), F.lit(True)))
-    return M.scores(M.perceptron(rows.where("not held"), len(C.FEATURES), epochs=20), rows.where("held"), "user", "day", "label")
 
+    def fit(rows: DataFrame, held: Column) -> DataFrame:
+        scaled = M.assemble(S.standardised(rows, ~held))
+        return M.scores(M.perceptron(scaled.where(~held), len(C.FEATURES)), scaled.where(held), "user", "day", "label")
 
-def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of boosted trees on window statistics for users that they haven't seen."""
+    return M.out_of_fold(rows, fit)
+
+
+def window_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """(user, start, label) and the 129 statistics of each labelled window, and their names."""
     zw = DQ.z_windows(spark, sf_dir)
-    stats = W.window_statistics(zw).groupBy("user", "start").pivot("feature", list(C.FEATURES)).agg(F.first("mean_dev").alias("mean"), F.first("max_dev").alias("max"), F.first("max_burst").alias("burst"))
-    names = tuple(c for c in stats.columns if c not in ("user", "start"))
-    rows = stats.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"])
-    rows = M.assemble(rows.withColumn("held", holdout(rows, 0.2, 42)), names)
-    return M.scores(M.boosted_trees(rows.where("not held"), rounds=10), rows.where("held"), "user", "start", "label")
+    kinds = ("max_dev", "mean_dev", "std_dev", "days_2s", "days_3s", "trend", "max_burst")
+    stats = W.window_statistics(zw).groupBy("user", "start").pivot("feature", list(C.FEATURES)).agg(*[F.first(k).alias(k) for k in kinds])
+    rows = stats.join(W.cross_statistics(zw), ["user", "start"])
+    names = tuple(c for c in rows.columns if c not in ("user", "start"))
+    return rows.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"]), names
+
+
+def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of boosted trees on window statistics, of every window by a model that hasn't seen its user."""
+    rows, names = window_features(spark, sf_dir)
+
+    def fit(rows: DataFrame, held: Column) -> DataFrame:
+        return M.scores(M.boosted_trees(rows.where(~held), rounds=300), rows.where(held), "user", "start", "label")
+
+    return M.out_of_fold(M.assemble(rows, names), fit)
 
 
 QUERIES["mlp_user_day_scores"] = mlp_user_day_scores
