@@ -7,8 +7,11 @@ corrected for its filter's rate of false positives, and the highest count decide
 
 The n-grams are counted over all training rows. A language contains an n-gram when it uses it at
 no less than `share` of the rate of the language that uses it most, so words borrowed from another
-language don't fill the filters. What reaches the driver is the filter, whose size is bounded by
-`max_bits`, not the n-grams.
+language don't fill the filters.
+
+The words follow the number of n-grams. Up to 2**`max_bits` words the filter is one table, and that
+is what reaches the driver. A larger one stays a DataFrame of blocks: an n-gram's hash names its
+block and its places in it, and the n-grams of the texts are joined to the blocks.
 """
 
 from __future__ import annotations
@@ -21,24 +24,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut
+from behaviorlens.llm.common import cut, hash_pair, text_of
 
 N, HASHES, SHARE = 3, 3, 0.2
-#: Log2 of the words of a filter at most; words per n-gram at least, below that bound.
+#: Log2 of the words of a filter that is broadcast, at most; words per n-gram at least.
 MAX_BITS, SPARSE = 22, 16
+#: Log2 of the words of a block of a filter that isn't broadcast.
+BLOCK_BITS = 10
 #: Languages that fit into a word.
 MAX_LANGUAGES = 62
 #: Code points that are looked at together, and n-grams that a task counts before it hands them on.
 PART, HELD = 1 << 20, 1 << 20
 
-_LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 COUNTS_DDL = "lang string, gram bigint, n bigint"
 
 
 def grams(text: str, n: int = N) -> np.ndarray:
     """Hashes of the n-grams of letters, lower-cased; runs of anything else are one blank."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
+    letter = _LETTER[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first blank after a letter
     codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
@@ -76,21 +81,44 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows(held)
 
 
+def positions(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    for k in range(HASHES):
+        yield ((gram >> np.uint64(21 * k)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def choose(languages: tuple[str, ...], fallback: str | None, total: int, hits: np.ndarray, false_positives: np.ndarray) -> tuple[str, float]:
+    """The language of the highest count; one whose filter is full says nothing and counts as 0."""
+    if not total:
+        return "und", 0.0
+    told = false_positives < 1
+    hits = np.where(told, np.maximum(0.0, (hits - total * false_positives) / np.where(told, 1 - false_positives, 1.0)), 0.0)
+    if not len(hits) or not hits.sum():
+        return fallback or "und", 0.0
+    best = int(hits.argmax())
+    return languages[best], float(hits[best] / hits.sum())
+
+
+@dataclass(frozen=True)
+class BlockFilters:
+    """Filters as rows (block, words) of 2**BLOCK_BITS words each; blocks without n-grams have no row."""
+
+    languages: tuple[str, ...]
+    fallback: str | None
+    blocks: DataFrame
+    n_blocks: int
+    false_positives: np.ndarray
+
+
 @dataclass(frozen=True)
 class LanguageFilters:
     languages: tuple[str, ...]
     fallback: str | None
     words: np.ndarray
 
-    @staticmethod
-    def positions(gram: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        for k in range(HASHES):
-            yield ((gram >> np.uint64(21 * k)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-
     def containing(self, gram: np.ndarray) -> np.ndarray:
         """The mask of all languages that contain each n-gram, with the filters' false positives."""
         bits, out = int(len(self.words)).bit_length() - 1, None
-        for at in self.positions(gram, bits):
+        for at in positions(gram, bits):
             out = self.words[at] if out is None else out & self.words[at]
         return out
 
@@ -105,16 +133,10 @@ class LanguageFilters:
             masks = self.containing(gram)
             total += len(gram)
             hits += [np.count_nonzero((masks >> l) & 1) for l in range(len(self.languages))]
-        if not total:
-            return "und", 0.0
-        hits = np.maximum(0.0, (hits - total * false_positives) / (1 - false_positives))
-        if not len(hits) or not hits.sum():
-            return self.fallback or "und", 0.0
-        best = int(hits.argmax())
-        return self.languages[best], float(hits[best] / hits.sum())
+        return choose(self.languages, self.fallback, total, hits, false_positives)
 
 
-def fit(rows: DataFrame, share: float = SHARE, max_bits: int = MAX_BITS) -> LanguageFilters:
+def fit(rows: DataFrame, share: float = SHARE, max_bits: int = MAX_BITS) -> LanguageFilters | BlockFilters:
     """Filters from rows (lang, text); rows without a language are left out.
 
     Without rows there are no languages, and every text with a letter is `und`.
@@ -133,13 +155,51 @@ def fit(rows: DataFrame, share: float = SHARE, max_bits: int = MAX_BITS) -> Lang
     high = F.array_max(F.transform("of", lambda x: x["rate"]))
     mask = F.aggregate(F.filter("of", lambda x: x["rate"] >= share * high), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
     masks = cut(rates.select("gram", mask.alias("mask")))
-    bits = min(max_bits, max(10, (SPARSE * masks.count()).bit_length()))
+    n_grams, fallback = masks.count(), max(languages, key=lambda x: (totals[x], x))
+    bits = max(10, (SPARSE * n_grams).bit_length())
+    if bits > max_bits:
+        return _fit_blocks(masks, languages, fallback, -(-SPARSE * n_grams >> BLOCK_BITS))
     low = F.lit((1 << bits) - 1).cast("long")
     at = F.explode(F.array(*[F.shiftrightunsigned("gram", 21 * k).bitwiseAND(low) for k in range(HASHES)]))
     filled = masks.select(at.alias("at"), "mask").groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
     words = np.zeros(1 << bits, np.int64)
     words[filled["at"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64)
-    return LanguageFilters(languages, max(languages, key=lambda x: (totals[x], x)), words)
+    return LanguageFilters(languages, fallback, words)
+
+
+def _block(n_blocks: int):
+    return F.pmod(F.xxhash64("gram"), F.lit(n_blocks).cast("long"))
+
+
+def _fill(n_languages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, words = None, None
+
+        def drain():
+            share = [np.count_nonzero((words >> l) & 1) / len(words) for l in range(n_languages)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([words], pa.list_(pa.int64())), pa.array([share], pa.list_(pa.float64()))], ["block", "words", "share"])
+
+        for batch in batches:
+            block, gram, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            starts = np.flatnonzero(np.diff(block, prepend=-1))
+            for i, j in zip(starts, [*starts[1:], len(block)]):
+                if at != block[i]:
+                    if at is not None:
+                        yield drain()
+                    at, words = int(block[i]), np.zeros(1 << BLOCK_BITS, np.int64)
+                for p in positions(gram[i:j].astype(np.int64).view(np.uint64), BLOCK_BITS):
+                    np.bitwise_or.at(words, p, mask[i:j])
+        if at is not None:
+            yield drain()
+
+    return run
+
+
+def _fit_blocks(masks: DataFrame, languages: tuple[str, ...], fallback: str, n_blocks: int) -> BlockFilters:
+    rows = masks.select(_block(n_blocks).alias("block"), "gram", "mask").repartition("block").sortWithinPartitions("block")
+    blocks = cut(rows.mapInArrow(_fill(len(languages)), "block bigint, words array<bigint>, share array<double>"))
+    rates = blocks.agg(*[F.sum(F.pow(F.col("share")[l], HASHES)).alias(f"l{l}") for l in range(len(languages))]).first()
+    return BlockFilters(languages, fallback, blocks.select("block", "words"), n_blocks, np.array(rates) / n_blocks)
 
 
 def _predict(shared):
@@ -153,15 +213,50 @@ def _predict(shared):
     return run
 
 
-def predict(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["r1", "r2", "gram", "n"]
+    for batch in batches:
+        for r1, r2, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for part in _parts(text):
+                values, counts = np.unique(part, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), r1)), pa.array(np.full(len(values), r2)), pa.array(values.view(np.int64)), pa.array(counts)], names)
+
+
+def _choose_all(languages: tuple[str, ...], fallback: str | None, rate: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r1, r2, total, hits = batch.columns
+            found = [choose(languages, fallback, t, np.array(h, float), rate) for t, h in zip(total.to_pylist(), hits.to_pylist())]
+            yield pa.RecordBatch.from_arrays([r1, r2, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["r1", "r2", "lang_pred", "score"])
+
+    return run
+
+
+def _predict_by_blocks(rows: DataFrame, model: BlockFilters) -> DataFrame:
+    """Texts are known by a hash of 128 bits. The rows of a repeated text multiply all its counts alike."""
+    keyed = rows.select("doc_id", *[h.alias(x) for h, x in zip(hash_pair(8, text_of("text")), ("r1", "r2"))], text_of("text").alias("text"))
+    grams = keyed.select("r1", "r2", "text").mapInArrow(_text_grams, "r1 bigint, r2 bigint, gram bigint, n bigint")
+    met = grams.withColumn("block", _block(model.n_blocks)).join(model.blocks, "block", "left")
+    words = [F.get("words", F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int")) for k in range(HASHES)]
+    mask = F.coalesce(words[0].bitwiseAND(words[1]).bitwiseAND(words[2]), F.lit(0).cast("long"))
+    each = [F.sum(F.col("n") * F.shiftright("mask", l).bitwiseAND(F.lit(1).cast("long"))) for l in range(len(model.languages))]
+    counted = met.select("r1", "r2", "n", mask.alias("mask")).groupBy("r1", "r2").agg(F.sum("n").alias("total"), F.array(*each).alias("hits"))
+    found = counted.mapInArrow(_choose_all(model.languages, model.fallback, model.false_positives), "r1 bigint, r2 bigint, lang_pred string, score double")
+    out = keyed.select("doc_id", "r1", "r2").join(found, ["r1", "r2"], "left")
+    return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def predict(docs: DataFrame, model: LanguageFilters | BlockFilters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score.
 
     Null, empty and letterless texts are `und` with score 0; a text none of whose n-grams is known
     has the most frequent language, also with score 0; of equal counts the first language in
     alphabetical order wins. Repeated rows are decided alike; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**MAX_BITS words
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if isinstance(model, BlockFilters):
+        return _predict_by_blocks(rows, model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**MAX_BITS words
     return rows.mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
 
 

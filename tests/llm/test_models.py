@@ -1,5 +1,6 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,27 @@ def test_language_edges(spark):
     empty = langid.fit(docs.limit(0).select("lang", "text"))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_languages_with_more_ngrams_than_the_broadcast_filter_holds(spark):
+    rng = np.random.default_rng(0)
+    letters = {"a": [chr(c) for c in range(0x4E00, 0x5200)], "b": [chr(c) for c in range(0x4F00, 0x5300)], "c": [chr(c) for c in range(0x20000, 0x20400)]}
+    rows = [(i, "".join(rng.choice(letters[x], 400)), x) for i, x in enumerate("abc" * 20)]
+    rows += [(i + 100, text, None) for i, text, _ in rows[:30]] + [(200, None, None), (200, "12 !", None), (None, rows[1][1], None), (201, rows[1][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = langid.fit(docs.select("lang", "text"))
+    blocks = langid.fit(docs.select("lang", "text"), max_bits=10)
+    assert isinstance(blocks, langid.BlockFilters) and (blocks.false_positives < 0.05).all()
+    want = sorted(map(str, [(r.doc_id, r.lang_pred) for r in langid.predict(docs, whole).collect()]))
+    got = langid.predict(docs, blocks).collect()
+    assert sorted(map(str, [(r.doc_id, r.lang_pred) for r in got])) == want
+    truth = {i: x for i, _, x in rows[:60]}
+    assert all(r.lang_pred == truth[r.doc_id] and r.score > 0.8 for r in got if r.doc_id in truth)
+
+
+def test_full_filters_say_nothing_and_symbols_are_no_letters():
+    full = langid.LanguageFilters(("a", "b"), "b", np.full(1024, 3, np.int64))
+    assert full.decide("some text", full.false_positives()) == ("b", 0.0)
+    half = langid.LanguageFilters(("a", "b"), "b", np.where(np.arange(1024) < 512, 3, 1))
+    assert half.decide("some text with words", half.false_positives())[0] == "b"
+    assert len(langid.grams("\U0001F600\U0001F601")) == 0 and len(langid.grams("\U00020000\U00020001")) == 2
