@@ -30,14 +30,19 @@ class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     `keeps_space`: the tokenizer joins a blank to the word after it (byte-level BPE); otherwise it
-    drops white space. Special tokens' strings in a text are ordinary text.
+    drops white space. The strings of added tokens in a text get their ids, as in the library: it
+    cuts a text at them before anything else, and the pieces between them are texts of their own.
     """
 
     def __init__(self, path: str, keeps_space: bool, known_words: int = KNOWN_WORDS, known_bases: int = KNOWN_BASES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError("added tokens must be found as they stand")
+        self.added = {t.content: np.uint32(i).astype("<u4").tobytes() for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.keeps_space, self.known_words, self.known_bases = keeps_space, known_words, known_bases
         # A mark between words whose id no word has: the line feed, or a NUL that stands alone.
         self.mark, self.glue = ("\n", "\n") if keeps_space else ("\x00", " \x00 ")
@@ -136,11 +141,19 @@ class WordEncoder:
         texts = [t or "" for t in texts]
         for i in range(0, len(texts), TEXTS):
             part = texts[i : i + TEXTS]
-            if max(map(len, part)) <= LONG:
-                yield from self._batch(part)
+            if any(x in t for x in self.added for t in part):
+                yield from self._around_added(part)
             else:
-                for t in part:
-                    yield self._long(t)
+                yield from self._plain(part)
+
+    def _plain(self, part: list[str]) -> list[bytes]:
+        return self._batch(part) if max(map(len, part)) <= LONG else [self._long(t) for t in part]
+
+    def _around_added(self, part: list[str]) -> list[bytes]:
+        split = [self.at_added.split(t) for t in part]  # added tokens are at the odd places
+        pieces = [x for xs in split for x in xs[::2]]
+        ids = iter([x for i in range(0, len(pieces), TEXTS) for x in self._plain(pieces[i : i + TEXTS])])
+        return [b"".join([self.added[x] if k % 2 else next(ids) for k, x in enumerate(xs)]) for xs in split]
 
     def _long(self, text: str) -> bytes:
         parts = list(self._slices(text))

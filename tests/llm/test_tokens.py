@@ -24,6 +24,22 @@ def test_word_encoder_equals_library(name, keeps, long, known, monkeypatch):
         assert got == [np.array(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in TEXTS]
 
 
+@pytest.mark.parametrize("name, keeps", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("long", [500_000, 30])
+def test_added_tokens_have_the_ids_of_the_plain_call(name, keeps, long, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(T, "LONG", long)
+    plain = Tokenizer.from_file(vocabulary(name))
+    texts = [
+        "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|startoftext|>y", "<|ENDOFTEXT|> b", "a\n<|endoftext|>\n b  c", "one <|endoftext|> two " * 20,
+        "<|endoftext|", "<|<|endoftext|>|>", " <|startoftext|> it's", None, "no token here",
+    ]
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert plain.token_to_id("<|endoftext|>") in expected[0]
+    assert [np.frombuffer(x, "<u4").tolist() for x in T.WordEncoder(vocabulary(name), keeps).encode(texts)] == expected
+
+
 def test_codes_round_trip_and_random_access():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0), np.zeros(5), rng.integers(0, 50_000, 3000), rng.integers(0, 2**32, 1500), np.arange(250, 260)):
