@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,19 @@ def test_sketches_equal_sets(spark):
     assert sketch.compare_with_edits(table(spark, rows).limit(0)).count() == 0
 
 
+def test_edited_texts_share_runs_of_words(spark):
+    rng = np.random.default_rng(0)
+    sizes = [9, 12, 15, 20, 24, 30, 40, 48, 60, 96, 100, 150, 512, 800, 1100, 2000]
+    words = [[f"w{x}" for x in rng.integers(0, 10**6, n)] for n in sizes]
+    texts = [" ".join(x) for x in words] + ["".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 60))]
+    docs = table(spark, list(enumerate(texts)))
+    got = sketch.compare_with_edits(docs, digests=sketch.word_runs).collect()
+    assert len(got) == len(texts) and all(r.near_edited > 0.1 and r.near_edited > r.near_next for r in got), [(r.doc_id, r.near_edited, r.near_next) for r in got]
+    late = spark.createDataFrame([(t, "inserted " + t) for t in texts], "a string, b string").select(sketch.word_runs(F.col("a")).alias("a"), sketch.word_runs(F.col("b")).alias("b")).collect()
+    assert all(len(set(r.a) & set(r.b)) >= len(r.a) / 2 for r in late)
+    assert spark.range(1).select(sketch.word_runs(F.lit("")).alias("d")).first().d == []
+
+
 def test_peeling_recovers_digests(spark):
     a, b = "\n".join(f"p{i}" for i in range(40)), "\n".join(f"p{i}" for i in range(6, 43))
     row = spark.range(1).select(sketch.digests(F.lit(a)).alias("a"), sketch.digests(F.lit(b)).alias("b"))
