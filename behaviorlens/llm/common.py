@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +19,77 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    The folder comes from ``spark.checkpoint.dir``; only a session that names none, as in
-    tests, gets a temporary one. A lost executor then costs a read, not a recomputation.
+    Only a session on one machine that names none, as in tests, gets a temporary one.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is deleted when the session ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def _file_system(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+class Scratch:
+    """The written tables of one computation.
+
+    A table cuts the lineage: it is written as Parquet to the shared folder and read back, so a
+    lost executor costs a read, and the plans after it know its true size. On leaving the context
+    all tables are deleted but those that the result still reads, which `keep` names.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.tables = spark, new_folder(spark, "scratch"), []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.tables])
+
+    def cut(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """`small` says that the rows fit into one task with ease: one file, and no shuffle after it."""
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        (df.coalesce(1) if small else df).write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table = table.coalesce(1) if small else table
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for path in [p for t, p in self.tables if any(t is x for x in tables)]:
+            delete_folder(self.spark, path)
+        self.keep(*tables)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """From now on these live as long as the session."""
+        self.tables = [(t, p) for t, p in self.tables if not any(t is x for x in tables)]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """One written table that lives as long as the session."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
