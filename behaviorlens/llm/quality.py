@@ -20,18 +20,20 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut, text_of
+from behaviorlens.llm.common import Scratch, text_of
 
 #: Bound on the labelled rows that the rules are fitted on.
 MAX_ROWS = 20_000
-TREES, DEPTH, LASSO = 12, 3, 0.002
+TREES, DEPTH, LASSO, ITERATIONS = 12, 3, 0.002, 60
 THRESHOLD = 0.3
 
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text that is not null; shares of an empty text are 0."""
     n = F.char_length(text)
-    words = F.split(F.btrim(text), "[ \\t\\n\\x0b\\f\\r]+")
+    words, lines = F.split(F.btrim(text), "[ \\t\\n\\x0b\\f\\r]+"), F.split(text, "\n", -1)
+    before = F.slice(F.concat(F.array(F.lit(None)), words), F.lit(1), F.size(words))  # of each word the one before it
+    pairs = F.zip_with(before, words, lambda a, b: F.concat_ws(" ", a, b))
 
     def share(part: Column, whole: Column = n) -> Column:
         return F.coalesce(part / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
@@ -40,6 +42,9 @@ def statistics(text: Column) -> dict[str, Column]:
         "log_chars": F.log1p(n.cast("double")),
         "word_length": share(n, F.size(words)),
         "distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
+        "distinct_pairs": share(F.size(F.array_distinct(pairs)), F.size(words)),
+        "stutter": share(F.size(F.filter(F.zip_with(before, words, lambda a, b: a == b), lambda same: same)), F.size(words)),
+        "distinct_lines": share(F.size(F.array_distinct(lines)), F.size(lines)),
         "upper": share(F.regexp_count(text, F.lit("[A-Z]"))),
         "marks": share(F.regexp_count(text, F.lit("[*$%&#@^~<>{}=_\\\\]"))),
         "shouts": share(F.regexp_count(text, F.lit("!"))),
@@ -111,7 +116,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int
     sample = labels.where(bucket < min(1 << 20, int((1 << 20) * max_rows / max(1, total))))
     # About max_rows ids of eight bytes, whatever the size of the corpus.
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
-    rows = cut(rows.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()]))
+    with Scratch(docs.sparkSession) as scratch:
+        # The sample is one task's worth, so that each step of the fit is one short task.
+        rows = scratch.cut(rows.select("label", *[c.alias(n) for n, c in statistics(F.col("text")).items()])).coalesce(1)
+        return _fit(rows, trees, depth, lasso, scratch)
+
+
+def _fit(rows: DataFrame, trees: int, depth: int, lasso: float, scratch: Scratch) -> RuleEnsemble:
     classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(classes) < 2:
         p = min(max(next(iter(classes), 0.5), 0.01), 0.99)
@@ -123,8 +134,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, trees: int
     if not paths:
         return RuleEnsemble(float(_logit(classes[1.0] / sum(classes.values()))), ())
     held = [Rule(0.0, p).holds().cast("double").alias(f"r{i}") for i, p in enumerate(paths)]
-    vectors = VectorAssembler(inputCols=[f"r{i}" for i in range(len(paths))], outputCol="features").transform(cut(rows.select("label", *held)))
-    model = LogisticRegression(regParam=lasso, elasticNetParam=1.0, maxIter=100, standardization=False).fit(vectors.select("label", "features"))
+    rules = VectorAssembler(inputCols=[f"r{i}" for i in range(len(paths))], outputCol="features").transform(scratch.cut(rows.select("label", *held), small=True))
+    model = LogisticRegression(regParam=lasso, elasticNetParam=1.0, maxIter=ITERATIONS, standardization=False).fit(rules.select("label", "features"))
     weights = model.coefficients.toArray()
     return RuleEnsemble(float(model.intercept), tuple(Rule(float(w), p) for w, p in zip(weights, paths) if w))
 
@@ -136,21 +147,20 @@ def _logit(p: float) -> float:
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text") -> DataFrame:
-    """The input rows with `__score`; null texts count as empty, and all rows stay."""
-    stats = statistics(text_of(text_col))
-    wide = docs.select(F.struct("*").alias("__row"), *[c.alias(n) for n, c in stats.items()])
-    return wide.select("__row.*", model.score().alias("__score"))
+    """`row`, the input row whatever its columns are called, and `score`; null texts count as empty, and all rows stay."""
+    wide = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in statistics(text_of(text_col)).items()])
+    return wide.select("row", model.score().alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted; learned only from rows not held out.
 
-    Repeated rows are scored alike; a null id is not held out and has no label; other columns are
-    ignored, and an empty table gives no rows.
+    Repeated rows and rows of equal texts are scored alike, so ties stay ties; a null id is not held
+    out and has no label; a text of any length is scored whole, an empty one by its zero
+    statistics; other columns are ignored, and an empty table gives no rows.
     """
     learn = labels.select("doc_id", F.col("quality").alias("label")).where(held_out("doc_id", folds) != 0)
     model = fit(docs, learn)
     scored = score(docs.select("doc_id", "text"), model)
-    return scored.select(
-        "doc_id", F.coalesce(held_out("doc_id", folds) == 0, F.lit(False)).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted")
-    )
+    scored = scored.select("row.doc_id", "score")
+    return scored.select("doc_id", F.coalesce(held_out("doc_id", folds) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
