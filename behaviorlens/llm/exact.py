@@ -14,10 +14,10 @@ execution splits the partition of a group of copies that holds a large part of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut, hash_pair, text_of, without_white_space
+from behaviorlens.llm.common import Scratch, hash_pair, text_of, without_white_space
 
 BLOCK_BYTES = 4096
 
@@ -36,61 +36,66 @@ def _numbered(distinct: DataFrame, *keys: str) -> DataFrame:
     return distinct.sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
 
 
-def _block_names(raw: DataFrame, block_bytes: int, digest) -> tuple[DataFrame, int]:
+def _block_names(raw: DataFrame, block_bytes: int, digest, scratch: Scratch) -> tuple[DataFrame, int]:
     """(h1, h2, name) of every distinct block, and the seed with which the digest tells all of them apart."""
     seed = 0
     while True:
         blocks = raw.select(F.explode(_blocks(F.col("raw"), block_bytes)).alias("block")).distinct()
         h1, h2 = digest(seed, F.col("block"))
-        names = cut(_numbered(blocks, "block").select(h1.alias("h1"), h2.alias("h2"), "name"))
+        names = scratch.cut(_numbered(blocks, "block").select(h1.alias("h1"), h2.alias("h2"), "name"))
         if names.groupBy("h1", "h2").count().where("count > 1").isEmpty():
             return names, seed
+        scratch.drop(names)
         seed += 1
 
 
-def identify_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest=hash_pair) -> DataFrame:
+def identify_texts(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest=hash_pair) -> DataFrame:
     """One row per input row: uid, doc_id, n_chars, text_sha256, level, name.
 
     (level, name) is the same for two rows exactly when their texts are equal after white space
     is deleted. uid numbers the rows, so repeated and null ids stay apart. Null and empty texts,
-    and texts of white space only, are equal to one another. Other columns are ignored.
+    and texts of white space only, are equal to one another; a very long text is many blocks, which
+    are rows of their own. Other columns are ignored.
     """
     raw = docs.select(
         F.col(id_col).alias("doc_id"),
         F.char_length(text_of(text_col)).cast("long").alias("n_chars"),
         F.encode(without_white_space(text_of(text_col)), "UTF-8").alias("raw"),
     )
-    names, seed = _block_names(raw.select("raw"), block_bytes, digest)
-    base = cut(
+    names, seed = _block_names(raw.select("raw"), block_bytes, digest, scratch)
+    base = scratch.cut(
         raw.select(
             "doc_id",
             "n_chars",
             F.sha2("raw", 256).alias("text_sha256"),
             F.transform(_blocks(F.col("raw"), block_bytes), lambda b: F.struct(*[h.alias(n) for h, n in zip(digest(seed, b), ("h1", "h2"))])).alias("digests"),
+            F.monotonically_increasing_id().alias("uid"),
         )
-    ).withColumn("uid", F.monotonically_increasing_id())
-    rest = cut(
+    )
+    rest = scratch.cut(
         base.select("uid", F.size("digests").alias("n"), F.posexplode("digests").alias("i", "digest"))
         .select("uid", "n", "i", F.col("digest.h1").alias("h1"), F.col("digest.h2").alias("h2"))
         .join(names, ["h1", "h2"])
         .select("uid", "n", "i", "name")
     )
+    scratch.drop(names)
     level, done = 0, []
     longest = rest.agg(F.max("n")).first()[0] or 1
     while True:
-        done.append(rest.where("n = 1").select("uid", F.lit(level).alias("level"), "name"))
+        done.append(scratch.cut(rest.where("n = 1").select("uid", F.lit(level).alias("level"), "name")))
         if longest == 1:
             break
         level, longest = level + 1, (longest + 1) // 2
         odd = F.col("i") % 2 == 1
-        pairs = (
+        pairs = scratch.cut(
             rest.where("n > 1")
             .groupBy("uid", F.ceil(F.col("n") / 2).cast("int").alias("n"), F.floor(F.col("i") / 2).cast("int").alias("i"))
             .agg(F.max(F.when(~odd, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(odd, F.col("name"))), F.lit(-1)).alias("right"))
         )
-        pairs = cut(pairs)
-        names = cut(_numbered(pairs.select("left", "right").distinct(), "left", "right"))
-        rest = cut(pairs.join(names, ["left", "right"]).select("uid", "n", "i", "name"))
+        names = scratch.cut(_numbered(pairs.select("left", "right").distinct(), "left", "right"))
+        scratch.drop(rest)
+        rest = scratch.cut(pairs.join(names, ["left", "right"]).select("uid", "n", "i", "name"))
+        scratch.drop(pairs, names)
     found = done[0]
     for more in done[1:]:
         found = found.unionByName(more)
@@ -100,25 +105,27 @@ def identify_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digest=hash_pair) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars.
 
-    Of equal texts the row with the most code points stays, then the one with the smallest id;
-    a null id comes after every other; of fully repeated rows exactly one stays.
+    Of equal texts the row with the most code points stays, among ties the one with the smallest
+    id; a null id comes after every other; of fully repeated rows exactly one stays.
     An empty table gives no rows.
     """
-    rows = cut(identify_texts(docs, id_col, text_col, block_bytes, digest))
-    best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u")))
-    groups = cut(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")))
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.cut(identify_texts(docs, scratch, id_col, text_col, block_bytes, digest))
+        best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("uid").alias("u")))
+        groups = scratch.cut(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), best.alias("best")))
+        scratch.keep(rows, groups)
     return rows.join(groups, ["level", "name"]).select(
         "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.u")).alias("kept"), "text_sha256", "n_chars"
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The input rows, with all their columns, of which one of each group of equal texts stays."""
-    from pyspark.sql import Window
-
-    stays = exact_groups(docs, id_col, text_col, block_bytes).where("kept")
-    key = [F.xxhash64(F.lit(k), F.col(id_col), F.char_length(text_of(text_col)).cast("long"), F.sha2(F.encode(without_white_space(text_of(text_col)), "UTF-8"), 256)) for k in (0, 1)]
-    stays = stays.select(*[F.xxhash64(F.lit(k), "doc_id", "n_chars", "text_sha256").alias(f"__k{k}") for k in (0, 1)])
-    keyed = docs.withColumns({"__k0": key[0], "__k1": key[1]})
-    once = F.row_number().over(Window.partitionBy("__k0", "__k1").orderBy("__k0", "__k1"))
-    return keyed.join(stays, ["__k0", "__k1"], "left_semi").withColumn("__once", once).where("__once = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The input rows, with all their columns whatever they are called, of which one of each group of equal texts stays."""
+    def key(doc_id: str | Column, n_chars: Column, sha: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(k), doc_id, n_chars, sha).alias(f"k{k}") for k in (0, 1)]
+
+    stays = exact_groups(docs, id_col, text_col, block_bytes).where("kept").select(*key("doc_id", F.col("n_chars"), F.col("text_sha256")))
+    text = text_of(text_col)
+    keyed = docs.select(*key(id_col, F.char_length(text).cast("long"), F.sha2(F.encode(without_white_space(text), "UTF-8"), 256)), F.struct("*").alias("row"))
+    once = F.row_number().over(Window.partitionBy("k0", "k1").orderBy("k0", "k1"))
+    return keyed.join(stays, ["k0", "k1"], "left_semi").withColumn("once", once).where("once = 1").select("row.*")

@@ -6,22 +6,25 @@ weight over its tokens is the rate at which its documents are wanted, and docume
 with probabilities in proportion to it, calibrated so that the expected tokens meet a budget.
 
 The corpus is read twice, to count and to sample. In between there are cells, of which there are
-at most as many as combinations of keys, and factors, one per key; they stay in tables, and the
-driver sees single numbers. A hot source is pre-aggregated like any other.
+at most as many as combinations of keys; they stay in tables, and the driver sees single numbers.
+A hot source is pre-aggregated like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut, text_of
+from behaviorlens.llm.common import Scratch, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Rounds over all dimensions, and steps towards the budget.
-ROUNDS, STEPS = 8, 12
+#: What a marginal may be off its target in the end, rounds over all dimensions at most, steps towards the budget.
+TOLERANCE, ROUNDS, STEPS = 1e-10, 60, 12
+#: Cells that one task rakes with ease.
+SMALL = 100_000
 #: The share of tokens that is kept, and the exponent that flattens a marginal into its target.
 KEEP, TEMPERATURE = 0.8, 0.7
 NONE = "(none)"
@@ -33,44 +36,53 @@ def tokens_of(text: Column) -> Column:
 
 
 def topic_of(text: Column, tokens: Column) -> Column:
-    """The form of a text: table, or prose by length."""
+    """The topic where none is given: the form of a text, table or prose by length, the same in every language."""
     return F.when(F.contains(text, F.lit(" | ")), "table").when(tokens < 100, "short").when(tokens < 1000, "medium").otherwise("long")
 
 
-def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input rows with `__tokens` and one `__` column per dimension; a null key is NONE."""
-    rows = docs.withColumn("__tokens", tokens_of(text_of(text_col)))
-    rows = rows.withColumn("__topic", topic_of(text_of(text_col), F.col("__tokens")))
-    return rows.withColumns({f"__{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in DIMENSIONS[:2]})
+def described(docs: DataFrame, text_col: str = "text", topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
+    """`row`, the input row whatever its columns are called, tokens and the dimensions; a null key is NONE."""
+    rows = docs.select(F.struct("*").alias("row"), tokens_of(text_of(text_col)).alias("tokens"), *[F.coalesce(F.col(d).cast("string"), F.lit(NONE)).alias(d) for d in DIMENSIONS[:2]])
+    return rows.withColumn("topic", topic(F.coalesce(F.col("row")[text_col], F.lit("")), F.col("tokens")))
 
 
 def tempered(cells: DataFrame, dimension: str, temperature: float = TEMPERATURE) -> DataFrame:
     """(key, share): the marginal of a dimension raised to a power and scaled to sum 1."""
     sums = cells.groupBy(F.col(dimension).alias("key")).agg(F.sum("tokens").alias("tokens"))
-    powers = cut(sums.select("key", F.pow("tokens", F.lit(temperature)).alias("p")))
-    total = powers.agg(F.sum("p")).first()[0] or 1.0
-    return powers.select("key", (F.col("p") / total).alias("share"))
+    total = sums.agg(F.sum(F.pow("tokens", F.lit(temperature)))).first()[0] or 1.0
+    return sums.select("key", (F.pow("tokens", F.lit(temperature)) / total).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """The cells with `rate`: their raked weight over their tokens.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> tuple[DataFrame, float, int]:
+    """The cells with `rate`, their raked weight over their tokens; the residual, and the rounds it took.
 
     `cells` has the dimensions and tokens; `targets` gives (key, share) for each dimension. A key
-    without a target is wanted at rate 0. The factors of one dimension are found from those of the
-    others, so each step reads the cells and writes one row per key.
+    without a target is wanted at rate 0. A round scales the weights of one dimension after another
+    to its marginal. It ends when no key of any dimension is off its target by more than
+    `tolerance` of it, or after `rounds`, as where the targets contradict one another or ask for
+    cells that are empty; the residual says how far off the worst key is then.
     """
+    small = cells.count() <= SMALL
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    factors = {d: cut(t.select(F.col("key").alias(d), F.lit(1.0).alias(f"f_{d}"))) for d, t in targets.items()}
-    for _ in range(rounds):
-        for d, target in targets.items():
-            others = reduce(lambda x, o: x.join(factors[o], o), [o for o in targets if o != d], cells)
-            weight = reduce(lambda x, o: x * F.col(f"f_{o}"), [o for o in targets if o != d], F.col("tokens"))
-            sums = others.groupBy(d).agg(F.sum(weight).alias("w"))
-            factor = F.coalesce(F.col("share") * total / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0))
-            factors[d] = cut(sums.join(target.withColumnRenamed("key", d), d).select(d, factor.alias(f"f_{d}")))
-    joined = reduce(lambda x, d: x.join(factors[d], d, "left"), targets, cells)
-    rate = reduce(lambda x, y: x * y, [F.coalesce(F.col(f"f_{d}"), F.lit(0.0)) for d in targets])
-    return cut(joined.select(*targets, "tokens", rate.alias("rate")))
+    shares = {d: scratch.cut(t.select(F.col("key").alias(d), (F.col("share") * total).alias("wanted")), small) for d, t in targets.items()}
+    now = scratch.cut(cells.select(*targets, "tokens", F.col("tokens").alias("weight")), small)
+    residual, done = 0.0, 0
+    while done < rounds:
+        done, used = done + 1, [now]
+        for d in targets:
+            sums = now.groupBy(d).agg(F.sum("weight").alias("w"))
+            factor = F.coalesce(F.col("wanted") / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0))
+            scaled = now.join(sums.join(shares[d], d).select(d, factor.alias("f")), d, "left")
+            now = scaled.select(*targets, "tokens", (F.col("weight") * F.coalesce("f", F.lit(0.0))).alias("weight"))
+            if not small or d == list(targets)[-1]:
+                now = scratch.cut(now, small)
+                used.append(now)
+        scratch.drop(*used[:-1])
+        off = [now.groupBy(d).agg(F.sum("weight").alias("w")).join(shares[d], d).select(F.abs(F.col("w") / F.nullif(F.col("wanted"), F.lit(0.0)) - 1).alias("off")) for d in targets]
+        residual = reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
+        if residual <= tolerance:
+            break
+    return now.select(*targets, "tokens", (F.col("weight") / F.col("tokens")).alias("rate")), residual, done
 
 
 def calibrate(raked: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
@@ -96,20 +108,26 @@ def dice(id_col: str, seed: int) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows with __tokens, __source, __lang, __topic, __rate, __probability and __selected.
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
+    """`row`, the input row; tokens, source, lang, topic, rate, residual, probability and selected.
 
-    Without targets each marginal's own shares are tempered. Null texts are empty; null keys are a
-    key of their own; rows with the same id are drawn together; null ids draw as one. An empty
-    table gives no rows, and other columns stay as they are.
+    `topic` makes a text's topic of the text and its tokens, as from a classifier's column. Without
+    targets each marginal's own shares are tempered; `residual` is how far the worst key is
+    off its target after raking. Null and empty texts count as one token, long ones whole; null keys
+    are a key of their own; rows with the same id are drawn together, so ties stay or go as one;
+    null ids draw as one. An empty table gives no rows; columns with clashing names stay in `row`.
     """
-    rows = described(docs, text_col)
-    cells = cut(rows.groupBy(*[F.col(f"__{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("__tokens").alias("tokens")))
-    found = calibrate(rake(cells, targets or {d: tempered(cells, d, temperature) for d in DIMENSIONS}), keep)
-    found = found.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("rate").alias("__rate"), F.col("probability").alias("__probability"))
-    return rows.join(cut(found), [f"__{d}" for d in DIMENSIONS]).withColumn("__selected", dice(id_col, seed) < F.col("__probability"))
+    rows = described(docs, text_col, topic)
+    with Scratch(docs.sparkSession) as scratch:
+        cells = scratch.cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+        raked, residual, _ = rake(cells, targets or {d: tempered(cells, d, temperature) for d in DIMENSIONS}, scratch)
+        found = scratch.cut(calibrate(raked, keep).select(*DIMENSIONS, "rate", F.lit(residual).alias("residual"), "probability"))
+        scratch.keep(found)
+    # A row per cell: the planner knows the written size, and broadcasts it only if that is small.
+    out = rows.join(found, list(DIMENSIONS)).withColumn("selected", dice(f"row.{id_col}", seed) < F.col("probability"))
+    return out.select("row", "tokens", *DIMENSIONS, "rate", "residual", "probability", "selected")
 
 
 def sample(docs: DataFrame, **parameters) -> DataFrame:
     """The selected input rows, with their own columns."""
-    return mix(docs, **parameters).where("__selected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, **parameters).where("selected").select("row.*")

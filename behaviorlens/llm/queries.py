@@ -121,17 +121,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     found = mixing.mix(docs, keep=mixing.KEEP, temperature=mixing.TEMPERATURE, seed=0)
     return found.select(
-        "doc_id",
-        F.col("__source").alias("source"),
-        F.col("__lang").alias("lang"),
-        F.col("__topic").alias("topic"),
-        F.col("__tokens").cast("long").alias("n_tokens"),
-        F.round("__rate", 6).alias("rate"),
-        F.round("__probability", 6).alias("probability"),
-        F.col("__selected").alias("selected"),
+        "row.doc_id", "source", "lang", "topic", F.col("tokens").cast("long").alias("n_tokens"), F.round("rate", 6).alias("rate"), F.round("probability", 6).alias("probability"), "selected"
     )
 
 
+#: Rounds that the SQL unrolls; the query stops sooner, at mixing.TOLERANCE.
+SQL_ROUNDS = 24
+
+
 def _mixing_sql() -> str:
     """The same raking unrolled: a factor table for each step, then the steps towards the budget."""
     dims, power = mixing.DIMENSIONS, mixing.TEMPERATURE
@@ -151,7 +148,7 @@ def _mixing_sql() -> str:
         parts.append(f"s_{d} AS MATERIALIZED (SELECT {d}, p / (SELECT sum(p) FROM p_{d}) AS share FROM p_{d})")
         parts.append(f"f_{d}_0 AS (SELECT {d}, 1.0::DOUBLE AS f FROM s_{d})")
         factor[d] = f"f_{d}_0"
-    for k in range(1, mixing.ROUNDS + 1):
+    for k in range(1, SQL_ROUNDS + 1):
         for d in dims:
             a, b = (o for o in dims if o != d)
             parts.append(

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.llm import exact, lines, mixing, sketch
+from behaviorlens.llm.common import Scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, name string, i int, h1 string"
@@ -120,7 +121,21 @@ def test_raking_reaches_its_targets(spark):
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
     targets = {"source": {"A": 0.5, "B": 0.3, "C": 0.2}, "lang": {"en": 0.6, "fr": 0.4}, "topic": {"short": 0.25, "long": 0.75}}
     frames = {d: spark.createDataFrame(list(t.items()), "key string, share double") for d, t in targets.items()}
-    raked = mixing.rake(cells, frames, rounds=20)
+    scratch = Scratch(spark)
+    raked, residual, rounds = mixing.rake(cells, frames, scratch)
+    assert residual <= mixing.TOLERANCE and rounds < mixing.ROUNDS
+    # The tables know their size, so the planner's estimate doesn't grow from round to round.
+    assert len(str(raked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 9
+    plain = {(r.source, r.lang, r.topic): r.rate for r in raked.collect()}
+    mixing_small = mixing.SMALL
+    try:
+        mixing.SMALL = 0  # every step a table of its own
+        other, _, n = mixing.rake(cells, frames, scratch)
+        assert n == rounds and {(r.source, r.lang, r.topic): pytest.approx(r.rate) for r in other.collect()} == plain
+    finally:
+        mixing.SMALL = mixing_small
+    wrong = {**frames, "lang": spark.createDataFrame([("en", 0.6), ("xx", 0.4)], "key string, share double")}
+    assert mixing.rake(cells, wrong, scratch, rounds=2)[1] > 0.1
     total = sum(r[3] for r in rows)
     for d, target in targets.items():
         for r in raked.groupBy(d).agg(F.sum(F.col("tokens") * F.col("rate")).alias("w")).collect():
@@ -133,7 +148,12 @@ def test_mix_of_odd_rows(spark):
     rows = [(i, "word " * (i % 7 + 1), None if i % 5 == 0 else "en", None if i % 3 == 0 else "hot") for i in range(600)] + [(None, None, None, None), (5, "again", "en", "hot")]
     docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, lang string, source string, rate double")
     got = mixing.mix(docs, keep=0.5).collect()
-    assert len(got) == len(rows) and all(0 <= r["__probability"] <= 1 for r in got)
-    tokens = sum(r["__tokens"] for r in got)
-    assert sum(r["__tokens"] for r in got if r["__selected"]) == pytest.approx(0.5 * tokens, rel=0.15)
+    assert len(got) == len(rows) and all(0 <= r.probability <= 1 and r.row.rate == 1.0 for r in got)
+    tokens = sum(r.tokens for r in got)
+    assert sum(r.tokens for r in got if r.selected) == pytest.approx(0.5 * tokens, rel=0.15)
+    assert len({r.selected for r in got if r.row.doc_id == 5 and r.probability == 1}) <= 1
     assert mixing.sample(docs).columns == docs.columns and mixing.sample(docs.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "word " * 300_000, "en", "s", "x")], "doc_id long, text string, lang string, source string, topic string")
+    only = mixing.mix(long, keep=1.0).first()
+    assert (only.tokens, only.topic, only.row.topic) == (300_000, "long", "x")
+    assert {r.topic for r in mixing.mix(long, topic=lambda text, tokens: F.lit("any")).collect()} == {"any"}

@@ -27,7 +27,7 @@ def test_quality_edges(spark):
     one = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (2, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.fit(docs, one.select("doc_id", F.col("quality").alias("label"))).rules == ()
     scored = quality.score(docs, quality.RuleEnsemble(0.0, (quality.Rule(-3.0, (("shouts", False, 0.01),)),)))
-    assert {r.doc_id: r["__score"] < 0.3 for r in scored.collect()} == {1: False, 2: False, None: False, 3: True}
+    assert {r.row.doc_id: r.score < 0.3 for r in scored.collect()} == {1: False, 2: False, None: False, 3: True}
     assert quality.classify(docs.limit(0), none).count() == 0
 
 
