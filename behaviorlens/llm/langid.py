@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut, hash_pair, text_of
+from behaviorlens.llm.common import Scratch, cut, hash_pair, text_of
 
 N, HASHES, SHARE = 3, 3, 0.2
 #: Log2 of the words of a filter that is broadcast, at most; words per n-gram at least.
@@ -33,23 +33,30 @@ MAX_BITS, SPARSE = 22, 16
 BLOCK_BITS = 10
 #: Languages that fit into a word.
 MAX_LANGUAGES = 62
-#: Code points that are looked at together, and n-grams that a task counts before it hands them on.
+#: N-grams that are looked at together, and n-grams that a task counts before it hands them on.
 PART, HELD = 1 << 20, 1 << 20
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x110000)])
 COUNTS_DDL = "lang string, gram bigint, n bigint"
 
 
-def grams(text: str, n: int = N) -> np.ndarray:
-    """Hashes of the n-grams of letters, lower-cased; runs of anything else are one blank."""
+def _folded(text: str) -> np.ndarray:
+    """The code points of a text, lower-cased; a run of anything but letters is one blank, also at both ends."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _LETTER[codes]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first blank after a letter
-    codes = np.where(letter, codes, 32)[keep].astype(np.uint64)
     if not letter.any():
         return np.zeros(0, np.uint64)
-    codes = np.concatenate((np.full(1, 32, np.uint64), codes))
+    return np.concatenate((np.full(1, 32, np.uint64), np.where(letter, codes, 32)[keep].astype(np.uint64)))
+
+
+def grams(text: str, n: int = N) -> np.ndarray:
+    """Hashes of the n-grams of letters, lower-cased; runs of anything else are one blank."""
+    return _hashed(_folded(text), n)
+
+
+def _hashed(codes: np.ndarray, n: int = N) -> np.ndarray:
     out = np.zeros(max(0, len(codes) - n + 1), np.uint64)
     for k in range(n):
         out = out * np.uint64(0x1F_FFFF_FFFF_FFE1) + codes[k : k + len(out)]
@@ -58,8 +65,10 @@ def grams(text: str, n: int = N) -> np.ndarray:
 
 
 def _parts(text: str) -> Iterator[np.ndarray]:
-    for i in range(0, len(text), PART):
-        yield grams(text[i : i + PART])
+    """The n-grams of a text, PART of them at a time: the parts of the folded text overlap by N - 1."""
+    codes = _folded(text)
+    for i in range(0, max(1, len(codes) - N + 1), PART):
+        yield _hashed(codes[i : i + PART + N - 1])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

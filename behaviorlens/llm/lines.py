@@ -4,7 +4,10 @@ Every line becomes a 128-bit hash of its key with the document and position it c
 is moved for the search. The hashes are range-partitioned, with a secondary sort by document and
 position, and streamed: the first occurrence of a key in each document is flagged, and the flags
 are summed per key. A key found in enough documents marks all of its occurrences, which come back
-as one packed bitmap per document. Only that bitmap meets the text again.
+as one compressed bitmap of kept lines per document. Only that bitmap meets the text again.
+
+The bitmap is compressed by leaving out what is the rule: its words of 64 lines are stored only
+where some line of them goes; a word that isn't there keeps all of its lines.
 
 A key that holds a large part of all lines is salted by document before the range partitioning,
 its flags are pre-aggregated, and the join that marks its occurrences has two plain shuffles, so
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import WHITE_SPACE, ascii_lower, cut, hash_pair, shuffle_partitions, text_of
+from behaviorlens.llm.common import WHITE_SPACE, Scratch, ascii_lower, hash_pair, shuffle_partitions, text_of
 
 #: Lines in one bitmap word.
 WORD = 64
@@ -56,49 +59,58 @@ def first_occurrences(occurrences: DataFrame) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """r1, r2, dropped: packed bitmaps, bit i of word w set where line 64 w + i goes.
+    """r1, r2, keep: the bitmap of kept lines as sorted (word, bits), bit i of word w set where line 64 w + i stays.
 
-    A row that loses nothing has no bitmap. A bitmap ends with its last set word, so it is far
-    smaller than the lines it stands for.
+    Words whose lines all stay are left out, and so are rows that lose nothing: a bitmap is in
+    proportion to the lines that go, wherever they stand in a text of any length.
     """
-    seen = cut(line_occurrences(docs, id_col, text_col, min_key_chars))
-    counts = first_occurrences(seen).groupBy("h1", "h2").agg(F.count_if("first").alias("n_docs"))
-    frequent = cut(counts.where(F.col("n_docs") >= min_docs).select("h1", "h2"))
+    with Scratch(docs.sparkSession) as scratch:
+        seen = scratch.cut(line_occurrences(docs, id_col, text_col, min_key_chars))
+        counts = first_occurrences(seen).groupBy("h1", "h2").agg(F.count_if("first").alias("n_docs"))
+        frequent = scratch.cut(counts.where(F.col("n_docs") >= min_docs).select("h1", "h2"))
+        scratch.keep(seen, frequent)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("position") % WORD).cast("int"))
     words = (
         seen.join(frequent, ["h1", "h2"])
         .groupBy("r1", "r2", F.floor(F.col("position") / WORD).cast("int").alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
         .groupBy("r1", "r2")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+        .agg(F.array_sort(F.collect_list(F.struct("word", F.bitwise_not("bits").alias("bits")))).alias("keep"))
     )
-    dense = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("words"))), lambda w: F.coalesce(F.try_element_at("words", w), F.lit(0).cast("long")))
-    return words.select("r1", "r2", dense.alias("dropped"))
+    return words
+
+
+def _kept_lines(lines: Column, keep: Column) -> Column:
+    """The lines that stay: runs before each stored word, the kept ones of its lines, and the run after the last."""
+    start = lambda k: F.when(k == 0, 0).otherwise((F.get(keep, k - 1)["word"] + 1) * WORD)
 
+    def until(entry: Column, k: Column) -> Column:
+        at = entry["word"] * WORD
+        own = F.filter(F.slice(lines, at + 1, F.lit(WORD)), lambda _, i: F.call_function("getbit", entry["bits"], i) == 1)
+        return F.concat(F.slice(lines, start(k) + 1, at - start(k)), own)
 
-def _is_dropped(bitmap: Column, i: Column) -> Column:
-    word = F.coalesce(F.get(bitmap, F.floor(i / WORD).cast("int")), F.lit(0).cast("long"))
-    return F.call_function("getbit", word, (i % WORD).cast("int")) == 1
+    after = F.element_at(keep, -1)["word"] + 1
+    rest = F.slice(lines, after * WORD + 1, F.greatest(F.lit(0), F.size(lines) - after * WORD))
+    return F.concat(F.flatten(F.transform(keep, until)), rest)
 
 
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, min_key_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_dropped, dropped (the bitmap), kept (the text left).
+    """One row per input row: doc_id, n_lines, n_dropped, keep (the bitmap), kept (the text left).
 
     Lines are split at line feeds; a null or empty text has one empty line. A line's key is the
     line without white space at both ends, A-Z lower-cased. Keys of at least `min_key_chars` code
     points found in at least `min_docs` documents lose all their lines everywhere; repeats inside
-    a document count once, and rows with the same id and text count as one document. Ids may be
-    null or repeat; an empty table gives no rows; other columns are ignored.
+    a document count once, and rows with the same id and text count as one document. A row that
+    loses nothing has a null bitmap. Ids may be null or repeat; texts and lines may be of any length; an empty table gives no rows; other columns are ignored.
     """
     bitmaps = keep_bitmaps(docs, min_docs, min_key_chars, id_col, text_col)
     rows = docs.select(*_row_hashes(id_col, text_col), F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     joined = rows.join(bitmaps, ["r1", "r2"], "left").withColumn("lines", _lines(F.col("text")))
-    kept = F.filter("lines", lambda _, i: ~_is_dropped(F.col("dropped"), i))
-    joined = joined.withColumn("kept_lines", F.when(F.col("dropped").isNull(), F.col("lines")).otherwise(kept))
+    joined = joined.withColumn("kept_lines", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(_kept_lines(F.col("lines"), F.col("keep"))))
     return joined.select(
         "doc_id",
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size("kept_lines")).cast("long").alias("n_dropped"),
-        "dropped",
+        "keep",
         F.array_join("kept_lines", "\n").alias("kept"),
     )

@@ -66,7 +66,11 @@ def test_lines_equal_brute_force(spark):
         text = next(t for d, t in rows if d == r.doc_id) or ""
         left = [x for x in text.split("\n") if key(x) not in hot]
         assert (r.n_lines, r.n_dropped, r.kept) == (len(text.split("\n")), len(text.split("\n")) - len(left), "\n".join(left))
-        assert (r.dropped is None) == (r.n_dropped == 0)
+        assert (r.keep is None) == (r.n_dropped == 0)
+    far = [(20, "\n".join(f"u{i}" if i % 150 else "common line" for i in range(1000))), (21, "common line"), (22, "common line\n" * 64 + "own")]
+    got2 = {r.doc_id: r for r in lines.drop_frequent_lines(table(spark, far), min_docs=3).collect()}
+    assert got2[20].kept == "\n".join(f"u{i}" for i in range(1000) if i % 150) and len(got2[20].keep) == 7  # words, not lines
+    assert got2[21].kept == "" and got2[22].kept == "own" and got2[22].n_dropped == 64
     assert got.count() == len(rows) + 1 and lines.drop_frequent_lines(docs.limit(0)).count() == 0
     assert lines.drop_frequent_lines(docs, min_docs=3, min_key_chars=2).where("doc_id = 8").first().n_dropped == 0
 

@@ -76,3 +76,55 @@ def test_full_filters_say_nothing_and_symbols_are_no_letters():
     half = langid.LanguageFilters(("a", "b"), "b", np.where(np.arange(1024) < 512, 3, 1))
     assert half.decide("some text with words", half.false_positives())[0] == "b"
     assert len(langid.grams("\U0001F600\U0001F601")) == 0 and len(langid.grams("\U00020000\U00020001")) == 2
+
+
+def test_long_texts_have_the_same_ngrams_in_parts(monkeypatch):
+    text = "Straße, und der  Fuchs-Bau! 12 " * 20
+    whole = langid.grams(text)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(langid, "PART", part)
+        assert np.array_equal(np.concatenate(list(langid._parts(text))), whole)
+
+
+def test_exact_sets_agree_with_the_filters(spark):
+    """A twin with a set of n-grams for each language instead of bits."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefgh" if i % 2 else "efghijkl"), 5)) for _ in range(12)), "xy"[i % 2], "clash") for i in range(60)]
+    rows += [(100, rows[0][1], None, "clash"), (100, rows[0][1], None, "clash"), (101, "\U0001F600\U0001F601", "x", ""), (102, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    counts = {}
+    for _, text, lang, _ in rows:
+        for g in langid.grams(text or "") if lang else ():
+            counts[int(g), lang] = counts.get((int(g), lang), 0) + 1
+    totals = {x: sum(n for (_, y), n in counts.items() if x == y) for x in "xy"}
+    high = {}
+    for (g, x), n in counts.items():
+        high[g] = max(high.get(g, 0), n / totals[x])
+    has = {x: {g for (g, y), n in counts.items() if x == y and n / totals[x] >= langid.SHARE * high[g]} for x in "xy"}
+    for r in langid.predict(docs, langid.fit(docs.select("lang", "text"))).collect():
+        found = langid.grams(next(t for d, t, *_ in rows if d == r.doc_id) or "")
+        hits = {x: sum(int(g) in has[x] for g in found) for x in "xy"}
+        if not len(found):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        elif hits["x"] != hits["y"]:
+            assert r.lang_pred == max(hits, key=hits.get) and abs(r.score - max(hits.values()) / sum(hits.values())) < 0.02
+
+
+def test_rules_agree_with_plain_python(spark):
+    """The compiled column against the same statistics and rules one text at a time."""
+    texts = ["Plain words in a line. And more words here.", "LOUD!! LOUD!! LOUD!!", "a a b b c c d d", "x | y | z |\nx | y | z |", "", "one", "é ü 12% & more\n\n", "word " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stats = docs.select("text", *[c.alias(n) for n, c in quality.statistics(F.col("text")).items()]).collect()
+    for r in stats:
+        words, lines = r.text.strip(" \t\n\x0b\x0c\r").split(), r.text.split("\n")
+        words = words or [""]
+        n = len(r.text)
+        pairs = list(zip([None, *words[:-1]], words))
+        assert r.stutter == pytest.approx(sum(a == b for a, b in pairs) / len(words)) and r.distinct_words == pytest.approx(len(set(words)) / len(words))
+        assert r.distinct_pairs == pytest.approx(len(set(pairs)) / len(words)) and r.distinct_lines == pytest.approx(len(set(lines)) / len(lines))
+        assert r.shouts == pytest.approx(r.text.count("!") / n if n else 0) and r.bars == pytest.approx(r.text.count("|") / n if n else 0)
+    rules = (quality.Rule(1.5, (("stutter", True, 0.2), ("shouts", True, 0.01))), quality.Rule(-2.0, (("bars", False, 0.05),)), quality.Rule(-0.5, (("distinct_words", True, 0.5),)))
+    got = {r.row.doc_id: r.score for r in quality.score(docs, quality.RuleEnsemble(0.25, rules)).collect()}
+    for i, r in zip(range(len(texts)), sorted(stats, key=lambda r: texts.index(r.text))):
+        total = 0.25 + sum(rule.weight for rule in rules if all((r[s] <= t) if low else (r[s] > t) for s, low, t in rule.conditions))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-total)))
