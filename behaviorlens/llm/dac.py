@@ -5,13 +5,13 @@ that has one; a continuation bitmap says which ids of a level go on in the next,
 holds the number of set bits before each block of the bitmap. The chunk of id i on the next level
 is then at rank(i), so any id can be read without decoding those before it.
 
-The files are Parquet tables that Spark writes and reads, one row per segment, and each segment
-ends with a document. Segments of a shard, and shards of a folder, follow ascending doc_id.
+The files are Parquet tables that Spark writes and reads, one row per segment, uncompressed, and
+each segment ends with a document. Segments of a shard, and shards of a folder, follow ascending
+doc_id. `read_tokens` gives the ids at any positions of the whole folder.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import cut, shuffle_partitions
+from behaviorlens.llm.common import new_folder, shuffle_partitions
 from behaviorlens.llm.tokens import encoder
 
 CHUNK_BITS = 8
@@ -123,7 +123,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, keeps_space:
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h"))
     rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(_segments(tokenizer, keeps_space, end_id, segment_ids), SEGMENT_DDL).write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(_segments(tokenizer, keeps_space, end_id, segment_ids), SEGMENT_DDL).write.option("compression", "uncompressed").parquet(folder)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,10 +151,35 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(shards.select("shard", before.alias("before")), "shard").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one segment at a time
+            codes = Codes(row["levels"])
+            ids = [codes[i - row["start"]] for i in row["positions"]]
+            yield pa.RecordBatch.from_arrays([pa.array(row["positions"], pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
+
+
+def read_tokens(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
+    """(position, id) for each distinct position asked for, counted over all ids of the folder from 0; others are left out.
+
+    A position finds its segment by the stretch of SEGMENT_IDS positions it lies in, and its id by
+    one look at each level: no other id is decoded. Null positions are left out.
+    """
+    segments = spark.read.schema(SEGMENT_DDL).parquet(folder)
+    shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = segments.join(shards.select("shard", before.alias("before")), "shard").select("shard", "segment", (F.col("before") + F.col("first")).alias("start"), "n_ids")
+    stretch = lambda x: F.floor(x / SEGMENT_IDS)
+    places = placed.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n_ids") - 1))))
+    asked = positions.select(F.col("position").cast("long")).where("position >= 0").distinct().withColumn("stretch", stretch(F.col("position")))
+    met = asked.join(places, "stretch").where("position >= start and position < start + n_ids")
+    wanted = met.groupBy("shard", "segment", "start").agg(F.collect_list("position").alias("positions"))  # as many as a segment has ids, at most
+    return wanted.join(segments.select("shard", "segment", "levels"), ["shard", "segment"]).select("start", "positions", "levels").mapInArrow(_pick, "position bigint, id bigint")
+
+
 def encode_and_read(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id: int = 1) -> DataFrame:
     """Writes the token files to a new folder beside the checkpoints and reads them back."""
     spark = docs.sparkSession
-    cut(spark.range(0))  # sets the shared folder where a session has none
-    folder = f"{spark.sparkContext.getCheckpointDir()}/token-ids-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "token-ids")
     write_token_files(docs, folder, tokenizer, keeps_space, end_id)
     return read_documents(spark, folder)

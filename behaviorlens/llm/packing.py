@@ -63,7 +63,7 @@ def assign(lengths: list[int], max_tokens: int = MAX_TOKENS, linear: float = LIN
     return pieces
 
 
-def _pack(path: str, keeps_space: bool, end_id: int, max_tokens: int):
+def _pack(path: str, keeps_space: bool, end_id: int, max_tokens: int, buffer_docs: int, buffer_tokens: int):
     end = np.uint32(end_id).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def _pack(path: str, keeps_space: bool, end_id: int, max_tokens: int):
                 if n > whole:
                     held.append((doc_id, whole, ids[4 * whole :], n))
                     tokens += n - whole
-                if len(held) >= BUFFER_DOCS or tokens >= BUFFER_TOKENS:
+                if len(held) >= buffer_docs or tokens >= buffer_tokens:
                     flush()
                 if len(out) >= 10_000:
                     yield drain()
@@ -110,13 +110,15 @@ def _pack(path: str, keeps_space: bool, end_id: int, max_tokens: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int = 0, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, keeps_space: bool = True, end_id: int = 0, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text", buffer_docs: int = BUFFER_DOCS, buffer_tokens: int = BUFFER_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its text and then `end_id`; a null or empty text has that id alone.
     Every id lies in exactly one piece, and the offsets of a sequence have no gaps. A sequence has
     `max_tokens` tokens or a power of two of them. Repeated rows and null ids are documents of
-    their own; an empty table gives no rows; other columns are ignored. `max_tokens` is a power of two.
+    their own; an empty table gives no rows; other columns are ignored. The costs of sequences are
+    balanced among the rests of `buffer_docs` documents or `buffer_tokens` tokens, whichever come
+    first; a larger buffer balances better and takes more memory in the task. `max_tokens` is a power of two.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, keeps_space, end_id, max_tokens), PIECES_DDL)
+    return rows.mapInArrow(_pack(tokenizer, keeps_space, end_id, max_tokens, buffer_docs, buffer_tokens), PIECES_DDL)

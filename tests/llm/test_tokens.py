@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from behaviorlens.llm import dac, packing
 from behaviorlens.llm import tokens as T
@@ -107,3 +108,17 @@ def test_assign_balances_cost():
         size[to] += n
     full = cost[size == 1024]
     assert len(full) == sum(lengths) // 1024 and full.std() < 0.4 * full.mean()
+
+
+def test_any_token_is_read_without_its_neighbours(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, n))) for i, n in enumerate([0, 3, 400, 20, 700, 1])] + [(9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder, path = str(tmp_path / "ids"), vocabulary("word_bpe_49k.json")
+    dac.write_token_files(docs, folder, path, end_id=1, segment_ids=256)
+    plain = Tokenizer.from_file(path)
+    ids = [x for _, t in rows for x in [*plain.encode(t or "", add_special_tokens=False).ids, 1]]
+    asked = spark.createDataFrame([(0,), (1,), (1,), (255,), (256,), (len(ids) - 1,), (len(ids),), (-1,), (None,), (777,)], "position long")
+    got = {r.position: r.id for r in dac.read_tokens(spark, folder, asked).collect()}
+    assert got == {i: ids[i] for i in (0, 1, 255, 256, 777, len(ids) - 1)}
+    assert dac.read_tokens(spark, folder, asked.limit(0)).count() == 0
