@@ -109,9 +109,9 @@ def describe_event(kind: Column, row: dict[str, Column]) -> Column:
     """One line of text for an event of any log."""
     base = F.regexp_extract(row["filename"], r"([^/\\]*)$", 1)
     return (
-        F.when(kind == "logon", F.concat(F.when(activity_is(row["activity"], "logoff"), "Logged off at ").otherwise("Logged on at "), row["pc"]))
+        F.when(kind == "logon", F.concat(F.when(activity_is(row["activity"], "logon"), "Logged on at ").otherwise("Logged off at "), row["pc"]))
         .when(kind == "usb", F.concat(F.lit("USB "), F.lower(row["activity"]), F.lit(" at "), row["pc"]))
-        .when(kind == "file", F.concat(F.lit("File access: "), base, F.when(removable(row["to_removable_media"]), " to removable drive").otherwise("")))
+        .when(kind == "file", F.concat(F.lit("File access: "), base, F.when(removable(row["to_removable_media"]), " → removable drive").otherwise("")))
         .when(kind == "email", F.concat(F.lit("Email to "), F.substring(F.coalesce(row["to"], F.lit("")), 1, 60), F.lit(" ("), F.floor(number(row["size"]) / 1024).cast("string"), F.lit(" KB)")))
         .when(kind == "http", F.concat(F.lit("Visited "), F.substring(row["url"], 1, 80)))
         .otherwise(kind)

@@ -128,7 +128,7 @@ def daily_magnitude(z: DataFrame) -> DataFrame:
 
 def validate(z: DataFrame, insiders: DataFrame, threshold: float = 2.0) -> DataFrame:
     """For each insider with days in the attack: mean |z| in it and before it, their ratio, the gate."""
-    magnitude = z.join(F.broadcast(insiders), z.user == insiders.user_id)
+    magnitude = z.join(insiders, z.user == insiders.user_id)
     inside = F.col("day").between(F.to_date("attack_start"), F.to_date("attack_end"))
     before = F.col("day") < F.to_date("attack_start")
     out = magnitude.groupBy("user").agg(

@@ -1,7 +1,7 @@
 """Per-entity-per-day features of the five activity logs.
 
-Every log is projected to (user, day) and the measures it contributes; the logs are then one
-union with one grouping, so all eighteen features take a single shuffle with partial aggregates.
+Every log is projected to (user, day) and the measures it contributes and grouped with partial
+aggregates; the small rows that come out are one union with one more grouping.
 Users that are null are left out. All eighteen columns are there whatever logs are.
 """
 
@@ -73,21 +73,23 @@ def log_features(log: DataFrame, kind: str) -> DataFrame:
 
 
 def daily_features(logs: dict[str, DataFrame]) -> DataFrame:
-    """user, day and the eighteen features, for every user and day with an event in some log."""
-    parts, of = [], measures()
+    """user, day and the eighteen features, for every user and day with an event in some log.
+
+    Each log is first aggregated on its own, so that a distinct count expands no rows of another
+    log; the union is then of small rows, one per log, user and day.
+    """
+    parts = []
     for kind, log in logs.items():
-        if kind == "file" and "to_removable_media" not in log.columns:
-            log = log.withColumn("to_removable_media", F.lit(None).cast("string"))
-        parts.append(log.where(F.col("user").isNotNull()).select("user", P.day(F.col("date")).alias("day"), *[of[kind][n].alias(n) if n in of[kind] else _nothing(n) for n in C.FEATURES]))
+        own = log_features(log, kind)
+        parts.append(own.select("user", "day", *[F.col(n) if n in own.columns else _nothing(n) for n in C.FEATURES]))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("user", "day").agg(*[_aggregate(n) for n in C.FEATURES])
+    return rows.groupBy("user", "day").agg(*[F.coalesce(F.sum(n), F.lit(0.0 if n in AMOUNTS else 0)).alias(n) for n in C.FEATURES])
 
 
 def _nothing(name: str) -> Column:
-    kind = "string" if name in DISTINCT else "double" if name in AMOUNTS else "boolean"
-    return F.lit(None).cast(kind).alias(name)
+    return F.lit(None).cast("double" if name in AMOUNTS else "long").alias(name)
 
 
 def malicious_days(insiders: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Metrics of detectors from scored rows, as plain aggregates and windows.
 
 Scores are first counted by distinct value, so ties are one threshold and the running sums are over
-thresholds, not rows. Running sums are kept within a group (a scenario, a model), which bounds them
-by the distinct scores of one group.
+thresholds, not rows. Running sums go through stretches of thresholds between approximate quantiles,
+each in a task of its own, and the sums of the stretches above are added; so one model with as many
+scores as rows is no single task's work.
 """
 
 from __future__ import annotations
@@ -10,14 +11,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Stretches of thresholds whose running sums are made apart, and buckets of ranks in a stratum.
+STRETCHES, BUCKETS = 64, 1024
+
 
 def threshold_counts(scored: DataFrame, by: list[str]) -> DataFrame:
     """by, prob, tp and fp at or above the threshold, p and n in all."""
     counts = scored.groupBy(*by, "prob").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.count("*").alias("all"))
-    counts = counts.withColumn("neg", F.col("all") - F.col("pos"))
-    down = Window.partitionBy(*by).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return counts.select(*by, "prob", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("p"), F.sum("neg").over(every).alias("n"))
+    counts = counts.select(*by, "prob", "pos", (F.col("all") - F.col("pos")).alias("neg"))
+    quantiles = F.percentile_approx("prob", [i / STRETCHES for i in range(1, STRETCHES)], 1000)
+    totals = counts.groupBy(*by).agg(quantiles.alias("_q"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # a row per group
+    rows = counts.join(totals, by) if by else counts.join(F.broadcast(totals))
+    rows = rows.withColumn("_b", F.size(F.filter("_q", lambda q: q > F.col("prob")))).drop("_q")
+    sums = rows.groupBy(*by, "_b").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("fp"))  # at most STRETCHES rows per group
+    above = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "_b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in ("tp", "fp")])
+    down = Window.partitionBy(*by, "_b").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)}).join(sums, [*by, "_b"])
+    return out.select(*by, "prob", "pos", "neg", (F.col("tp") + F.col("_tp")).alias("tp"), (F.col("fp") + F.col("_fp")).alias("fp"), "p", "n")
 
 
 def ranking_metrics(scored: DataFrame, by: list[str]) -> DataFrame:
@@ -50,8 +61,8 @@ def precision_at(scored: DataFrame, by: list[str], ks: tuple[int, ...] = (10, 20
 
 def by_scenario(scored: DataFrame) -> DataFrame:
     """The rows once for each scenario that is not 0: its own positives and all benign rows."""
-    scenarios = scored.where("scenario <> 0").select(F.col("scenario").alias("for_scenario")).distinct()
-    benign = scored.where("label = 0").join(F.broadcast(scenarios))  # a handful of scenario numbers
+    scenarios = scored.where("scenario <> 0").agg(F.collect_set("scenario").alias("_s"))  # one row, as long as there are scenarios
+    benign = scored.where("label = 0").join(F.broadcast(scenarios)).withColumn("for_scenario", F.explode("_s")).drop("_s")
     own = scored.where("scenario <> 0 and label = 1").withColumn("for_scenario", F.col("scenario"))
     return own.unionByName(benign)
 
@@ -65,31 +76,40 @@ def confusion(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def detection_latency(flagged: DataFrame, insiders: DataFrame, threshold: float) -> DataFrame:
-    """(user, days) from the attack's start to the start of the first window above the threshold; null if none."""
+    """(user, days) from the attack's start to the start of the first window above the threshold, as whole days that have passed, rounded down; null if none."""
     first = flagged.where(F.col("prob") > threshold).groupBy("user").agg(F.min("window_start").alias("first"))
     joined = insiders.join(first, insiders.user_id == first.user, "left")
-    return joined.select(F.col("user_id").alias("user"), F.datediff(F.col("first"), F.to_date("attack_start")).alias("days"))
+    return joined.select(F.col("user_id").alias("user"), F.floor(F.timestamp_diff("SECOND", F.col("attack_start"), F.col("first")) / 86400).cast("int").alias("days"))
 
 
 def latency_summary(latency: DataFrame) -> DataFrame:
     return latency.agg(F.count("days").alias("detected"), F.count("*").alias("total"), F.median("days").alias("median_days"), F.percentile("days", 0.9).alias("p90_days"))
 
 
-def folds(users: DataFrame, n: int, seed: int, stratum: Column) -> DataFrame:
-    """(user, fold): users dealt to folds within each stratum, evenly but for a remainder.
+def ranked(users: DataFrame, seed: int, stratum: Column) -> DataFrame:
+    """The rows with `_s`, the stratum, `_r`, the place in it from 0 by a seeded hash, and `_n`, its size.
 
-    The place of a user is its rank by a seeded hash within its bucket of the stratum; a bucket
-    holds a part of the users, so no stratum is sorted in one task.
+    The hash's high bits are buckets of about equal size in each stratum. Places are counted inside
+    a bucket and shifted by the buckets before it, so no stratum is sorted in one task.
     """
-    bucket = F.pmod(F.xxhash64("user", F.lit(~seed)), F.lit(64))
-    rank = F.row_number().over(Window.partitionBy("_s", "_b").orderBy(F.xxhash64("user", F.lit(seed)), "user"))
-    rows = users.withColumns({"_s": stratum, "_b": bucket})
-    return rows.withColumn("fold", F.pmod(rank + F.col("_b"), F.lit(n)).cast("int")).drop("_s", "_b")
+    rows = users.withColumns({"_s": stratum, "_h": F.xxhash64("user", F.lit(seed))}).withColumn("_b", F.pmod(F.shiftright("_h", 40), F.lit(BUCKETS)))
+    sizes = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))  # at most BUCKETS rows per stratum
+    own = Window.partitionBy("_s")
+    before = F.coalesce(F.sum("_c").over(own.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("_s").alias("_s2"), F.col("_b").alias("_b2"), before.alias("_f"), F.sum("_c").over(own).alias("_n"))
+    inside = F.row_number().over(Window.partitionBy("_s", "_b").orderBy("_h", "user")) - 1
+    placed = rows.withColumn("_i", inside).join(sizes, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_b") == F.col("_b2")))
+    return placed.withColumn("_r", F.col("_i") + F.col("_f")).drop("_h", "_b", "_i", "_f", "_s2", "_b2")
+
+
+def folds(users: DataFrame, n: int, seed: int, stratum: Column) -> DataFrame:
+    """(user, fold): users dealt to folds within each stratum; the folds of a stratum differ by one user at most."""
+    return ranked(users, seed, stratum).withColumn("fold", F.pmod("_r", F.lit(n)).cast("int")).drop("_s", "_r", "_n")
 
 
-def holdout(users: DataFrame, share: float, seed: int) -> Column:
-    """True for about `share` of the users, by a seeded hash."""
-    return F.pmod(F.xxhash64("user", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+def holdout(users: DataFrame, share: float, seed: int, stratum: Column) -> DataFrame:
+    """The users with `held`: true for round(n * share) of the n users of each stratum."""
+    return ranked(users, seed, stratum).withColumn("held", F.col("_r") < F.round(F.col("_n") * share)).drop("_s", "_r", "_n")
 
 
 def results_table(rows: list[dict], columns: tuple[str, ...] = ("model", "auprc", "auroc", "best_f1")) -> str:

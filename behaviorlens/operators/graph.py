@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens import config as C
 from behaviorlens.functions import predicates as P
+from behaviorlens.sources.store import written
 
 RECIPIENTS = ("to", "cc", "bcc")
 
@@ -169,9 +170,14 @@ def known_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> Dat
 
 
 def dense_ids(nodes: DataFrame, key: str) -> DataFrame:
-    """(key, idx): places in key order, from 0. Partitions are numbered on their own and then shifted by the sizes before them."""
-    ranged = nodes.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
-    ranged = ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    """(key, idx): places in key order, from 0. Partitions are numbered on their own and then shifted by the sizes before them.
+
+    The ranges are drawn once and written, as both the numbers and the sizes read them.
+    """
+    spark = nodes.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = nodes.select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    ranged = written(ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.join(F.broadcast(before), "_p").select(key, (F.col("_b") + F.col("_i")).alias("idx"))  # one row per partition
@@ -275,14 +281,20 @@ def top_keys(rows: DataFrame, key: str, k: int | None, always: Column | None = N
     return best if always is None else best.union(counts.where(always)).distinct()
 
 
-def ego_network(logs: dict[str, DataFrame], user: str) -> DataFrame:
-    """(kind, dst, weight, colour) of one user's machines, domains and internal recipients, one edge per address."""
-    mine = lambda k: derived(logs[k], k).where(F.col("user") == user)
+def ego_networks(logs: dict[str, DataFrame]) -> DataFrame:
+    """(user, kind, dst, weight, colour) of each user's machines, domains and internal recipients, one edge per address."""
+    of = lambda k: derived(logs[k], k).where(F.col("user").isNotNull())
     colour = P.ratio_colour(F.avg("_after")).alias("colour")
-    pcs = mine("logon").groupBy(F.col("pc").alias("dst")).agg(F.count("*").alias("weight"), colour).withColumn("kind", F.lit("pc"))
-    urls = mine("http").groupBy(F.col("_domain").alias("dst")).agg(F.count("*").alias("weight"), colour).withColumn("kind", F.lit("url"))
-    mail = mine("email").select(F.explode(P.internal_recipients(*[F.col(c) for c in RECIPIENTS])).alias("dst"), F.lit(1).cast("long").alias("weight"), F.lit(None).cast("string").alias("colour"), F.lit("user").alias("kind"))
-    return pcs.unionByName(urls).unionByName(mail).select("kind", "dst", "weight", "colour")
+    pcs = of("logon").groupBy("user", F.col("pc").alias("dst")).agg(F.count("*").alias("weight"), colour).withColumn("kind", F.lit("pc"))
+    urls = of("http").groupBy("user", F.col("_domain").alias("dst")).agg(F.count("*").alias("weight"), colour).withColumn("kind", F.lit("url"))
+    address = F.explode(P.internal_recipients(*[F.col(c) for c in RECIPIENTS]))
+    mail = of("email").select("user", address.alias("dst"), F.lit(1).cast("long").alias("weight"), F.lit(None).cast("string").alias("colour"), F.lit("user").alias("kind"))
+    return pcs.unionByName(urls).unionByName(mail).select("user", "kind", "dst", "weight", "colour")
+
+
+def ego_network(logs: dict[str, DataFrame], user: str) -> DataFrame:
+    """(kind, dst, weight, colour) of one user; the condition reaches the scans."""
+    return ego_networks(logs).where(F.col("user") == user).drop("user")
 
 
 def excluding(logs: dict[str, DataFrame], users: DataFrame) -> dict[str, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from behaviorlens import config as C
 from behaviorlens.operators.evaluation import folds
+from behaviorlens.sources.store import shared_folder, written
 
 
 def assemble(rows: DataFrame, names: tuple[str, ...] = C.FEATURES, out: str = "features") -> DataFrame:
@@ -49,12 +49,10 @@ def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame, Column], DataFrame],
     Users are dealt to `n` folds, those with a positive row evenly. `fit` takes all rows and which
     of them are held out, fits on the others and returns the scores of those held out.
     """
-    sc = rows.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:  # the trees cut their lineage there too
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    rows = rows.checkpoint()
+    shared_folder(rows.sparkSession)  # the trees cut their lineage there too
+    rows = written(rows)
     users = rows.groupBy("user").agg(F.max("label").alias("_p"))
-    rows = rows.join(folds(users, n, seed, F.col("_p")).drop("_p"), "user").checkpoint()
+    rows = written(rows.join(folds(users, n, seed, F.col("_p")).drop("_p"), "user"))
     used = sorted(r.fold for r in rows.select("fold").distinct().collect())  # at most n
     if not used:
         raise ValueError("there are no rows to fit on")

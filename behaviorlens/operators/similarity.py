@@ -11,24 +11,62 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def normalised(vector: Column) -> Column:
-    return F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(vector, vector)))
+    """The vector over its length, which is computed once; null for one of length 0."""
+    length = F.nullif(F.sqrt(dot(vector, vector)), F.lit(0.0))
+    return F.get(F.transform(F.array(length), lambda n: F.when(n.isNotNull(), F.transform(vector, lambda x: x.cast("double") / n))), F.lit(0))
 
 
-def find_similar(points: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+#: Numbers in the query vectors that are sent to every task at once.
+BLOCK_NUMBERS = 4_000_000
+
+
+def find_similar(points: DataFrame, queries: DataFrame, k: int = 10, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """(query_id, point_id, score, rank): the k points nearest to each query, the query itself left out.
 
-    `queries` is a stated set of points, small enough to be sent to every task; each task keeps its
-    k best per query before anything is shuffled, by a grouping with a bounded heap per query.
+    `queries` is a stated set of points. Its size is checked, and it meets the points in blocks
+    of bounded size; each task keeps its k best per query before anything is shuffled. Points
+    without a direction (null, empty or zero) are near nothing and are left out.
     """
-    q = queries.select(F.col("point_id").alias("query_id"), normalised(F.col("vector")).alias("qv"))
-    both = points.select("point_id", normalised(F.col("vector")).alias("v")).join(F.broadcast(q), F.col("query_id") != F.col("point_id"))
-    scored = both.select("query_id", "point_id", dot(F.col("v"), F.col("qv")).alias("score"))
-    order = [F.desc("score"), "point_id"]
-    local = scored.withColumn("part", F.spark_partition_id())
-    best = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+    q = queries.select(F.col("point_id").alias("query_id"), normalised(F.col("vector")).alias("qv")).where("qv is not null")
+    v = points.select("point_id", normalised(F.col("vector")).alias("v")).where("v is not null")
+    numbers = q.agg(F.sum(F.size("qv"))).first()[0] or 0
+    blocks = max(1, -(-numbers // block_numbers))
+    order, best = [F.desc("score"), "point_id"], None
+    for i in range(blocks):
+        of = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) if blocks > 1 else q
+        scored = v.join(F.broadcast(of), F.col("query_id") != F.col("point_id")).select("query_id", "point_id", dot(F.col("v"), F.col("qv")).alias("score"))
+        local = scored.withColumn("part", F.spark_partition_id())
+        own = local.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+        best = own if best is None else best.unionByName(own)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "point_id", "score", "rank")
 
 
+def random_planes(dimension: int, bits: int, tables: int, seed: int = 0) -> list[list[list[float]]]:
+    """For each table, `bits` random directions: the same for the same seed."""
+    import numpy as np
+
+    return np.random.default_rng(seed).standard_normal((tables, bits, dimension)).tolist()
+
+
+def lsh_neighbours(points: DataFrame, queries: DataFrame, planes: list[list[list[float]]], k: int = 10) -> DataFrame:
+    """`find_similar` among the points that share a bucket with the query in some table.
+
+    A bucket is the signs of a vector on a table's directions. Points and queries meet by an equi
+    join on (table, bucket), so a query is compared with its buckets and not with all points. It
+    is approximate: more tables or fewer bits find more.
+    """
+
+    def keyed(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+        signs = lambda table: F.concat(*[F.when(dot(F.col(name), F.array(*map(F.lit, p))) >= 0, "1").otherwise("0") for p in table])
+        buckets = F.posexplode(F.array(*[signs(t) for t in planes])).alias("table", "bucket")
+        return rows.select(F.col("point_id").alias(id_col), normalised(F.col("vector")).alias(name)).where(F.col(name).isNotNull()).select(id_col, name, buckets)
+
+    met = keyed(points, "point_id", "v").join(keyed(queries, "query_id", "qv"), ["table", "bucket"]).where("query_id <> point_id")
+    scored = met.select("query_id", "point_id", dot(F.col("v"), F.col("qv")).alias("score")).dropDuplicates(["query_id", "point_id"])
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def mean_embedding(points: DataFrame, key: str) -> DataFrame:
     """(key, vector): the mean of the vectors of each key."""
     cells = points.select(key, F.posexplode("vector").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))

@@ -70,7 +70,7 @@ def flagged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FLAGGED_SQL = f"{DQ.WITH},\n{DQ.ZW_SQL},\nfl AS (SELECT l.\"user\", l.window_start, round(avg(abs(z)), 5) AS prob FROM labelled l JOIN zw ON zw.\"user\" = l.\"user\" AND zw.start = l.start GROUP BY l.\"user\", l.start, l.window_start)"
-_LATENCY_SQL = 'lat AS (SELECT user_id AS "user", date_diff(\'day\', attack_start::DATE, f) AS days FROM insiders LEFT JOIN (SELECT "user", min(window_start) AS f FROM fl WHERE prob > 0.3 GROUP BY "user") x ON x."user" = user_id)'
+_LATENCY_SQL = 'lat AS (SELECT user_id AS "user", floor(date_diff(\'second\', attack_start, f::TIMESTAMP) / 86400.0::DOUBLE)::INT AS days FROM insiders LEFT JOIN (SELECT "user", min(window_start) AS f FROM fl WHERE prob > 0.3 GROUP BY "user") x ON x."user" = user_id)'
 QUERIES["detection_latency"] = lambda s, d: E.detection_latency(flagged_windows(s, d), V.insiders(s, d), 0.3).where("days is not null")
 ORACLES["detection_latency"] = f"{_FLAGGED_SQL},\n{_LATENCY_SQL}\nSELECT \"user\", days::INT AS days FROM lat WHERE days IS NOT NULL"
 QUERIES["latency_summary"] = lambda s, d: E.latency_summary(E.detection_latency(flagged_windows(s, d), V.insiders(s, d), 0.3))

@@ -127,13 +127,13 @@ _register(
 )
 _register(
     "ego_network",
-    lambda x: G.ego_network(x, "u1").withColumn("colour", F.coalesce("colour", F.lit("none"))),
-    ("kind", "dst", "colour"),
+    lambda x: G.ego_networks(x).withColumn("colour", F.coalesce("colour", F.lit("none"))),
+    ("user", "kind", "dst", "colour"),
     ("weight",),
     f""",
-col AS (SELECT 'pc' AS kind, pc AS dst, count(*) AS weight, avg({_A}) AS a FROM logon WHERE "user" = 'u1' GROUP BY pc UNION ALL SELECT 'url', {_DOM}, count(*), avg({_A}) FROM http WHERE "user" = 'u1' GROUP BY 2
-  UNION ALL SELECT 'user', string_split(addr, '@')[1], 1, NULL FROM (SELECT lower(trim(unnest(string_split({_ADDR}, ';')))) AS addr FROM email WHERE "user" = 'u1') WHERE ends_with(addr, '@dtaa.com')),
-o AS (SELECT kind, dst, weight, CASE WHEN a IS NULL THEN 'none' WHEN a < 0.34 THEN 'green' WHEN a < 0.67 THEN 'amber' ELSE 'red' END AS colour FROM col) SELECT *OUT* FROM o""",
+col AS (SELECT "user", 'pc' AS kind, pc AS dst, count(*) AS weight, avg({_A}) AS a FROM logon GROUP BY "user", pc UNION ALL SELECT "user", 'url', {_DOM}, count(*), avg({_A}) FROM http GROUP BY 1, 3
+  UNION ALL SELECT "user", 'user', string_split(addr, '@')[1], 1, NULL FROM (SELECT "user", lower(trim(unnest(string_split({_ADDR}, ';')))) AS addr FROM email) WHERE ends_with(addr, '@dtaa.com')),
+o AS (SELECT "user", kind, dst, weight, CASE WHEN a IS NULL THEN 'none' WHEN a < 0.34 THEN 'green' WHEN a < 0.67 THEN 'amber' ELSE 'red' END AS colour FROM col) SELECT *OUT* FROM o""",
 )
 
 _WIN = "wins AS (SELECT (DATE '2024-01-01' + 7 * i::INT)::DATE AS ws FROM range(0, 3) t(i))"

@@ -54,15 +54,15 @@ SELECT "user", day, rank, feature, round(z, 4) AS z FROM r WHERE rank <= 3"""
 QUERIES["peak_features"] = lambda s, d: S.peak_features(DQ.bootstrap_z(s, d)).withColumn("z", F.round("z", 4))
 ORACLES["peak_features"] = f"""{DQ.WITH},\n{DQ.Z_SQL}, pk AS (SELECT "user", feature, z FROM z QUALIFY row_number() OVER (PARTITION BY "user", feature ORDER BY abs(z) DESC, z DESC) = 1)
 SELECT "user", feature, round(z, 4) AS z FROM pk QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY round(abs(z), 9) DESC, feature) <= 5"""
-QUERIES["activity_timeline"] = lambda s, d: S.timeline(V.logs(s, d), F.col("user") == "u7", "2024-01-05", "2024-01-20").drop("user")
+QUERIES["activity_timeline"] = lambda s, d: S.timeline(V.logs(s, d), F.lit(True))
 ORACLES["activity_timeline"] = f"""{DQ.WITH},
 ev_all AS (
-  SELECT id, date, 'logon' AS kind, CASE WHEN lower(activity) = 'logoff' THEN 'Logged off at ' ELSE 'Logged on at ' END || pc AS text FROM logon WHERE "user" = 'u7'
-  UNION ALL SELECT id, date, 'usb', 'USB ' || lower(activity) || ' at ' || pc FROM device WHERE "user" = 'u7'
-  UNION ALL SELECT id, date, 'file', 'File access: ' || filename || CASE WHEN to_removable_media = 'True' THEN ' to removable drive' ELSE '' END FROM file WHERE "user" = 'u7'
-  UNION ALL SELECT id, date, 'email', 'Email to ' || substr(coalesce("to", ''), 1, 60) || ' (' || floor(size / 1024)::BIGINT || ' KB)' FROM email WHERE "user" = 'u7'
-  UNION ALL SELECT id, date, 'http', 'Visited ' || substr(url, 1, 80) FROM http WHERE "user" = 'u7'
-) SELECT * FROM ev_all WHERE date >= TIMESTAMP '2024-01-05' AND date <= TIMESTAMP '2024-01-20'"""
+  SELECT "user", id, date, 'logon' AS kind, CASE WHEN lower(activity) = 'logon' THEN 'Logged on at ' ELSE 'Logged off at ' END || pc AS text FROM logon
+  UNION ALL SELECT "user", id, date, 'usb', 'USB ' || lower(activity) || ' at ' || pc FROM device
+  UNION ALL SELECT "user", id, date, 'file', 'File access: ' || filename || CASE WHEN to_removable_media = 'True' THEN ' → removable drive' ELSE '' END FROM file
+  UNION ALL SELECT "user", id, date, 'email', 'Email to ' || substr(coalesce("to", ''), 1, 60) || ' (' || floor(size / 1024)::BIGINT || ' KB)' FROM email
+  UNION ALL SELECT "user", id, date, 'http', 'Visited ' || substr(url, 1, 80) FROM http
+) SELECT * FROM ev_all"""
 QUERIES["score_history"] = lambda s, d: S.score_history(B.daily_magnitude(DQ.bootstrap_z(s, d)).select("user", "day", F.least(F.lit(1.0), F.col("mean_abs_z") / 3).alias("score")), 14)
 ORACLES["score_history"] = f"""{DQ.WITH},\n{DQ.Z_SQL},\n{DQ.MAGNITUDE_SQL}, cal AS (SELECT unnest(generate_series(hi - INTERVAL 13 DAY, hi, INTERVAL 1 DAY))::DATE AS day FROM (SELECT max(day)::TIMESTAMP AS hi FROM mag))
 SELECT u."user", cal.day, round(CASE WHEN mean_abs_z IS NULL THEN 0 ELSE least(1.0, mean_abs_z / 3) END, 4) AS score FROM (SELECT DISTINCT "user" FROM mag) u CROSS JOIN cal LEFT JOIN mag ON mag."user" = u."user" AND mag.day = cal.day"""

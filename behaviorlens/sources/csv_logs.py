@@ -76,20 +76,20 @@ def adapter(version: str) -> Family:
 
 
 def detect(spark: SparkSession, folder: str) -> str:
-    """The family of a folder, from the headers of its http and email files."""
+    """The family of a folder, from the headers of its http and email files; a file that isn't there tells nothing."""
     if not exists(spark, folder):
         raise FileNotFoundError(folder)
-    fields = {n: header(spark, f"{folder}/{n}.csv") if exists(spark, f"{folder}/{n}.csv") else [] for n in ("http", "email")}
-    http, email = set(fields["http"]), set(fields["email"])
-    if not {"url", "user"} & http:
+    fields = {n: {x.lower() for x in header(spark, f"{folder}/{n}.csv")} if exists(spark, f"{folder}/{n}.csv") else None for n in ("http", "email")}
+    http, email = fields["http"], fields["email"]
+    if http is not None and not {"url", "user"} & http:
         return "r1"
-    if len(email) <= 4:
+    if email is not None and len(email) <= 4:
         return "r2"
-    if "size" in email and "user" not in email:
+    if email is not None and "size" in email and "user" not in email:
         return "r3x"
-    if "user" in email and "activity" not in email:
+    if email is not None and "user" in email and "activity" not in email:
         return "r4x"
-    return "r6x" if "activity" in http else "r5x"
+    return "r6x" if http is not None and "activity" in http else "r5x"
 
 
 def load_log(spark: SparkSession, folder: str, kind: str, family: Family) -> DataFrame:
