@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from behaviorlens import config as C
 from behaviorlens.functions import predicates as P
+from behaviorlens.operators.daily import daily_features, long_form
 
 
 def demo_alerts(z: DataFrame, floor: float = 0.3, top: int = 3) -> DataFrame:
@@ -53,6 +57,67 @@ def block(alerts: DataFrame, alert_id: str, log: DataFrame) -> tuple[DataFrame,
     return update_status(alerts, alert_id, "blocked"), log.unionByName(row)
 
 
+def mute(alerts: DataFrame, alert_id: str) -> DataFrame:
+    """The alerts with one muted."""
+    return update_status(alerts, alert_id, "muted")
+
+
+def on_day(ts: Column, day: str) -> Column:
+    """Between a day's midnight and the next: a range that reaches the scan."""
+    start = F.lit(day).cast("date").cast("timestamp_ntz")
+    return (ts >= start) & (ts < start + F.expr("interval 1 day"))
+
+
+def day_features(logs: dict[str, DataFrame], day: str, user: str | None = None) -> DataFrame:
+    """The daily features of one day, or of one user on it; no row for a user without events."""
+    own = lambda log: log.where(on_day(F.col("date"), day) & (F.lit(True) if user is None else F.col("user") == user))
+    return daily_features({k: own(x) for k, x in logs.items()})
+
+
+def score_day(logs: dict[str, DataFrame], day: str, statistics: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.7, top: int = 3) -> DataFrame:
+    """Alerts of one day: id, user, date, score, status, created_at, top_features (names).
+
+    `statistics` has (feature, mean, std) of the training days. `score` takes (user, day, feature,
+    z) and returns (user, day, prob); rows above the threshold become open alerts.
+    """
+    rows = long_form(day_features(logs, day), ["user", "day"]).join(F.broadcast(statistics), "feature")  # a row per feature
+    z = rows.select("user", "day", "feature", ((F.col("x") - F.col("mean")) / (F.col("std") + 1e-8)).alias("z"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("z", 9)).alias("o"), "feature"))), 1, top)
+    names = z.groupBy("user", "day").agg(F.transform(best, lambda x: x["feature"]).alias("top_features"))
+    found = score(z).where(F.col("prob") > threshold).join(names, ["user", "day"])
+    return found.select(F.expr("uuid()").alias("id"), "user", F.col("day").alias("date"), F.round("prob", 4).alias("score"), F.lit("open").alias("status"), F.current_timestamp().alias("created_at"), "top_features")
+
+
+def append_alerts(alerts: DataFrame, folder: str) -> None:
+    """Adds alerts to the stored ones."""
+    alerts.write.mode("append").parquet(folder)
+
+
+def latest_days(logs: dict[str, DataFrame]) -> DataFrame:
+    """(user, last_day): the last day with any event."""
+    days = [x.where(F.col("user").isNotNull()).select("user", F.to_date("date").alias("d")) for x in logs.values()]
+    return reduce(DataFrame.unionByName, days).groupBy("user").agg(F.max("d").alias("last_day"))
+
+
+def by_department(people: DataFrame) -> DataFrame:
+    """(department, n, mean_score, top_score) of a directory; its users are found by department through `search`."""
+    return people.groupBy("department").agg(F.count("*").alias("n"), F.avg("latest_score").alias("mean_score"), F.max("latest_score").alias("top_score"))
+
+
+def sorted_alerts(alerts: DataFrame, by: str = "score", descending: bool = True) -> DataFrame:
+    """The alerts by score or date, either way; by id among equals."""
+    if by not in ("score", "date"):
+        raise ValueError(f"alerts aren't sorted by {by}")
+    return alerts.orderBy(F.desc(by) if descending else F.asc(by), "id")
+
+
+def attack_days(windows: DataFrame, insiders: DataFrame, days: int = 28) -> DataFrame:
+    """(user, start, days_in_attack): the places, from 0, of a window's calendar days that are in the user's attack."""
+    joined = windows.join(insiders.select(F.col("user_id").alias("user"), "attack_start", "attack_end"), "user", "left")
+    inside = F.filter(F.sequence(F.lit(0), F.lit(days - 1)), lambda i: F.date_add("window_start", i).between(F.to_date("attack_start"), F.to_date("attack_end")))
+    return joined.select("user", "start", F.coalesce(inside, F.array().cast("array<int>")).alias("days_in_attack"))
+
+
 def directory(alerts: DataFrame, departments: DataFrame) -> DataFrame:
     """(user, latest_score, status, alert_count, department): each user's highest alert, with the department or Unknown."""
     best = F.max(F.struct("score", (F.datediff(F.lit("1970-01-01"), "date")).alias("o"), "status"))
