@@ -117,8 +117,8 @@ def test_peeling_recovers_digests(spark):
     row = row.select("a", "b", F.array_sort("a").alias("c"))
     for size in (8, 32):
         places = sketch._cells(size)
-        tables = [sketch.table(F.col(x), places, size) for x in "ab"]
-        found = row.select("a", "b", sketch.peel(sketch.subtract(*tables), places, size).alias("d")).first()
+        tables = [sketch.table(F.col(x), places) for x in "ab"]
+        found = row.select("a", "b", sketch.peel(sketch.subtract(*tables), places).alias("d")).first()
         assert found.d.left or sorted(found.d.found) == sorted(set(found.a) ^ set(found.b))
     assert not found.d.left
     # The digests of all blocks are those of the set, each in one block.
