@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import chat, dac, exact, langid, lines, mixing, neardup, packing, quality, sketch
+from behaviorlens.llm import chat, codes, dac, exact, langid, lines, mixing, neardup, packing, quality, simhash, sketch
 from behaviorlens.llm.common import read
 
 
@@ -189,3 +189,42 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_packing"] = op10_packing
+
+
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql() -> str:
+    """All distances in each round; a distance and an index in one number, so that ties go to the lower index."""
+    near = "SELECT v.vec_id, v.part, min(list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) * 256 + c.entry) AS best FROM v JOIN {c} c ON c.part = v.part GROUP BY ALL"
+    parts = [
+        "kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS ints FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "v AS MATERIALIZED (SELECT vec_id, part, ints[part * len(ints) // 4 + 1 : (part + 1) * len(ints) // 4] AS x FROM kept, range(4) p(part))",
+        "c_0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM v QUALIFY entry < 256)",
+    ]
+    for k in range(1, codes.ROUNDS + 1):
+        parts.append(f"a_{k} AS MATERIALIZED ({near.format(c=f'c_{k - 1}')})")
+        parts.append(f"u_{k} AS (SELECT v.part, best % 256 AS entry, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS place FROM v JOIN a_{k} a ON a.vec_id = v.vec_id AND a.part = v.part)")
+        parts.append(f"m_{k} AS (SELECT part, entry, place, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM u_{k} GROUP BY ALL)")
+        parts.append(f"n_{k} AS (SELECT part, entry, list(x ORDER BY place) AS x FROM m_{k} GROUP BY ALL)")
+        parts.append(f"c_{k} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(n.x, c.x) AS x FROM c_{k - 1} c LEFT JOIN n_{k} n ON n.part = c.part AND n.entry = c.entry)")
+    last = f"c_{codes.ROUNDS}"
+    parts.append(f"a AS MATERIALIZED ({near.format(c=last)})")
+    parts.append(f"d AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM {last})")
+    parts.append("r AS (SELECT vec_id, string_agg(lower(printf('%02x', (best % 256)::INT)), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM a GROUP BY vec_id)")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, label, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256
+FROM r JOIN kept USING (vec_id), d
+"""
+
+
+QUERIES["op11_vector_codes"] = op11_vector_codes
+ORACLES["op11_vector_codes"] = _codes_sql()
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_simhash"] = op13_simhash
