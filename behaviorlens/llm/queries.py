@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import chat, codes, dac, exact, langid, lines, mixing, neardup, packing, quality, simhash, sketch
+from behaviorlens.llm import chat, codes, dac, exact, langid, lines, mixing, neardup, packing, quality, simhash, sketch, trie
 from behaviorlens.llm.common import read
 
 
@@ -223,6 +223,38 @@ QUERIES["op11_vector_codes"] = op11_vector_codes
 ORACLES["op11_vector_codes"] = _codes_sql()
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+QUERIES["op12_prefix_trie"] = op12_prefix_trie
+ORACLES["op12_prefix_trie"] = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+h AS (  -- CRC-32 of the decimal id, a bit at a time
+  SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+                            lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda k: k::UBIGINT)), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))),
+                4294967295::UBIGINT) % 4 AS h
+  FROM own
+),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(coalesce(b.s[1:h], []), o.s[h + 1:]) AS s FROM h o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20
+),
+pre AS (SELECT conv_id, d, s[1:d] AS p, d = len(s) AS ends, CASE WHEN d > 0 THEN len(regexp_extract_all(s[d].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS w FROM rebuilt, LATERAL (SELECT unnest(range(len(s) + 1)) AS d)),
+nodes AS MATERIALIZED (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM pre GROUP BY p, d
+),
+kids AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+own_kids AS (SELECT nodes.p, nodes.d, saved, coalesce(kids.n, 0) AS n FROM nodes LEFT JOIN kids ON kids.p = nodes.p),
+subtrees AS (SELECT p[1:e] AS p, sum(saved)::BIGINT AS saved, count(*) FILTER (WHERE n = 0) AS leaves FROM own_kids, LATERAL (SELECT unnest(range(d + 1)) AS e) GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, u.conv_id AS parent_conv_id, a.n_convs, k.n AS n_children, t.leaves AS n_leaves, t.saved AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN own_kids k ON k.p = a.p JOIN subtrees t ON t.p = a.p LEFT JOIN nodes u ON a.d > 0 AND u.p = a.p[1:a.d - 1]
+"""
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
