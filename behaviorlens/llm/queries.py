@@ -104,7 +104,7 @@ QUERIES["op5_minhash"] = op5_minhash
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.compare_with_edits(read(spark, sf_dir, "documents"), digests=sketch.word_runs)
+    return sketch.compare_with_edits(read(spark, sf_dir, "documents"), digests=sketch.word_runs, full=sketch.FULL)
 
 
 QUERIES["op6_fingerprints"] = op6_fingerprints
