@@ -64,11 +64,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").withColumn("k", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int"))
+    return numbered(read(spark, sf_dir, "events"))
+
+
+def numbered(events: DataFrame) -> DataFrame:
+    return events.withColumn("k", F.regexp_extract("props", '"k": ([0-9]+)', 1).cast("int"))
 
 
 def logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    ev = events(spark, sf_dir)
+    return logs_of(events(spark, sf_dir))
+
+
+def logs_of(ev: DataFrame) -> dict[str, DataFrame]:
+    """The five logs of numbered events."""
+    spark = ev.sparkSession
     return {name: spark.sql(f"SELECT {_spark(_BASE)}, {_spark(columns)} FROM {{ev}} WHERE event_type = '{kind}'", ev=ev) for name, (kind, columns) in _LOG_SQL.items()}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -97,7 +98,11 @@ def load_log(spark: SparkSession, folder: str, kind: str, family: Family) -> Dat
     path = f"{folder}/{kind}.csv"
     if kind in family.absent or not exists(spark, path):
         return S.empty(spark, kind)
-    df = read_csv(spark, path, family.headerless.get(kind))
+    return canonical(read_csv(spark, path, family.headerless.get(kind)), kind, family)
+
+
+def canonical(df: DataFrame, kind: str, family: Family) -> DataFrame:
+    """The text columns of a log of a family, with its date parsed, in canonical form; a batch or a stream."""
     if family.user_prefix and "user" in df.columns:
         df = df.withColumn("user", F.replace("user", F.lit(family.user_prefix), F.lit("")))
     if kind == "device" and family.activity:
@@ -184,6 +189,18 @@ def load(spark: SparkSession, folder: str, version: str | None = None, finish: C
 
 
 def provenance(spark: SparkSession, folder: str, bytes_of_file: int = 65536) -> DataFrame:
-    """(path, length, sha256 of the first bytes) of the folder's CSV files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    return files.select("path", "length", F.sha2(F.substring("content", 1, bytes_of_file), 256).alias("sha256"))
+    """(path, length, sha256 of the first bytes) of the folder's own CSV files, by path.
+
+    Of each file no more is read than those bytes, through the file system that Spark uses, so its
+    length doesn't matter.
+    """
+    ddl, pattern = "path string, length bigint, sha256 string", spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.csv")
+    fs, rows = pattern.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for status in fs.globStatus(pattern) or []:
+        if status.isFile():
+            stream = fs.open(status.getPath())
+            try:
+                rows.append((status.getPath().toString(), status.getLen(), hashlib.sha256(stream.readNBytes(bytes_of_file)).hexdigest()))
+            finally:
+                stream.close()
+    return spark.createDataFrame(sorted(rows), ddl)

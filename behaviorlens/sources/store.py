@@ -23,13 +23,25 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is deleted when the session ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, place = file_system(spark, folder)
+    fs.deleteOnExit(place)
+    return folder
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as they are now, written to the shared folder and read back."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "rows")
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 class FeatureStore:
@@ -66,8 +78,8 @@ class FeatureStore:
         return bool(newest.none or newest.newer)
 
     def clear(self, version: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, place = file_system(self.spark, f"{self.root}/{version}")
+        fs.delete(place, True)
 
 
 def save_graph(edges: DataFrame, folder: str) -> None:
