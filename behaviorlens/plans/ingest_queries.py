@@ -15,7 +15,8 @@ QUERIES, ORACLES = {}, {}
 def streamed_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily features of the events as a stream brings them into the feature store, file by file."""
     folder = new_folder(spark, "ingest")
-    stream = spark.readStream.schema(V.read(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet")
+    files = f"{sf_dir}/events.parque[t]"  # a stream reads a folder or a pattern, and this may be a single file
+    stream = spark.readStream.schema(V.read(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(files)
     sink = LogSink(FeatureStore(spark, f"{folder}/store"), "r0", lambda rows: V.logs_of(V.numbered(rows)))
     ingest(stream, sink, f"{folder}/checkpoint")
     found = sink.features(spark)
