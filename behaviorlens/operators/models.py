@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +15,10 @@ from pyspark.sql import functions as F
 
 from behaviorlens import config as C
 from behaviorlens.operators.evaluation import folds
-from behaviorlens.sources.store import shared_folder, written
+from behaviorlens.sources.store import file_system, shared_folder, written
+
+#: Bytes of a written table that one task of a training takes.
+PART_BYTES = 16 << 20
 
 
 def assemble(rows: DataFrame, names: tuple[str, ...] = C.FEATURES, out: str = "features") -> DataFrame:
@@ -43,17 +48,37 @@ def scores(model, rows: DataFrame, *keys: str) -> DataFrame:
     return model.transform(rows).select(*keys, F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
 
 
+def dealt(rows: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """The rows as they are now, with `fold`: users are dealt to `n` folds, those with a positive row evenly.
+
+    They are written once, and read back in as few partitions as their size asks for, as every
+    round of a training passes over all of them.
+    """
+    rows = written(rows)
+    users = rows.groupBy("user").agg(F.max("label").alias("_p"))
+    return compact(written(rows.join(folds(users, n, seed, F.col("_p")).drop("_p"), "user")))
+
+
+def compact(table: DataFrame, bytes_of_part: int = PART_BYTES) -> DataFrame:
+    """A written table in parts of about so many bytes."""
+    size = sum(fs.getContentSummary(place).getLength() for fs, place in (file_system(table.sparkSession, f) for f in table.inputFiles()))
+    return table.coalesce(max(1, -(-size // bytes_of_part)))
+
+
 def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame, Column], DataFrame], n: int = 5, seed: int = 42) -> DataFrame:
     """The scores of all rows, each by a model that hasn't seen its user.
 
-    Users are dealt to `n` folds, those with a positive row evenly. `fit` takes all rows and which
-    of them are held out, fits on the others and returns the scores of those held out.
+    `fit` takes all rows, with their fold, and which of them are held out, fits on the others and
+    returns the scores of those held out. The folds are fitted side by side.
     """
     shared_folder(rows.sparkSession)  # the trees cut their lineage there too
-    rows = written(rows)
-    users = rows.groupBy("user").agg(F.max("label").alias("_p"))
-    rows = written(rows.join(folds(users, n, seed, F.col("_p")).drop("_p"), "user"))
-    used = sorted(r.fold for r in rows.select("fold").distinct().collect())  # at most n
-    if not used:
-        raise ValueError("there are no rows to fit on")
-    return reduce(DataFrame.unionByName, [fit(rows, F.col("fold") == k) for k in used])
+    rows = dealt(rows, n, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        used = sorted(r.fold for r in rows.select("fold").distinct().collect())  # at most n
+        if len(used) < 2:
+            raise ValueError("there are no rows to fit on")
+        with ThreadPool(len(used)) as pool:
+            found = pool.map(inheritable_thread_target(rows.sparkSession)(lambda k: written(fit(rows, F.col("fold") == k))), used)
+    finally:
+        rows.unpersist()
+    return reduce(DataFrame.unionByName, found)

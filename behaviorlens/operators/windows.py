@@ -76,6 +76,13 @@ def flattened(rows: DataFrame, features: tuple[str, ...]) -> DataFrame:
     return cells.select("user", "start", F.transform("c", lambda x: x["z"]).alias("values"))
 
 
+def with_traits(windows: DataFrame, traits: DataFrame, names: str = "OCEAN") -> DataFrame:
+    """The flattened windows with their user's traits behind the values; 0 for a user without any."""
+    known = traits.select("user", *[F.col(n).alias(f"_{n}") for n in names])
+    own = F.array(*[F.coalesce(F.col(f"_{n}").cast("double"), F.lit(0.0)) for n in names])
+    return windows.join(known, "user", "left").withColumn("values", F.concat("values", own)).drop(*[f"_{n}" for n in names])
+
+
 def tail(days: DataFrame, n: int = 28, key: str = "user", order: str = "day") -> DataFrame:
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
     return days.withColumn("_n", last).where(F.col("_n") <= n).drop("_n")

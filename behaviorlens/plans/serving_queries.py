@@ -10,10 +10,12 @@ from behaviorlens.functions import predicates as P
 from behaviorlens.operators import baseline as B
 from behaviorlens.operators import daily as D
 from behaviorlens.operators import models as M
+from behaviorlens.operators import network as N
 from behaviorlens.operators import scoring as S
 from behaviorlens.operators import windows as W
 from behaviorlens.plans import daily_queries as DQ
 from behaviorlens.plans import testviews as V
+from behaviorlens.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 #: Alerts of the test tables start at a lower score, so that there are some.
@@ -116,5 +118,29 @@ def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.out_of_fold(M.assemble(rows, names), fit)
 
 
+def network_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a network under focal loss, of every window, with its user's traits, by one that hasn't seen the user."""
+    windows = W.flattened(DQ.z_windows(spark, sf_dir), C.FEATURES)
+    windows = W.with_traits(windows, S.traits(V.ocean(spark, sf_dir), windows.select("user").distinct()))
+    rows = M.dealt(windows.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"]))
+    rows = N.keyed(rows, F.col("values"), "user", "start", fold=F.col("fold"))
+    return N.scores(rows, N.fit(rows), "user", "start", "label")
+
+
+def corrected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, day, before, after, is_correction): a network's scores of all days, and those after the day with the highest score was corrected to normal."""
+    days = D.label_days(DQ.features(spark, sf_dir), D.malicious_days(V.insiders(spark, sf_dir))).withColumnRenamed("is_malicious", "label")
+    rows = M.compact(written(N.keyed(days, F.array(*[F.col(n) for n in C.FEATURES]), "user", "day")))
+    net = N.fit(rows, N.Training(epochs=20))[-1]
+    before = N.scores(rows, {-1: net}, "user", "day").withColumnRenamed("prob", "before")
+    highest = before.orderBy(F.desc("before"), "user", "day").limit(1).select("user", "day", F.lit(True).alias("is_correction"))
+    marked = written(rows.join(highest, ["user", "day"], "left").withColumn("is_correction", F.coalesce("is_correction", F.lit(False))))
+    after = N.corrected(net, marked.where("is_correction").withColumn("label", F.lit(0)))
+    found = N.scores(marked, {-1: net}, "user", "day", "is_correction").withColumnRenamed("prob", "before")
+    return found.join(N.scores(marked, {-1: after}, "user", "day").withColumnRenamed("prob", "after"), ["user", "day"])
+
+
+QUERIES["network_window_scores"] = network_window_scores
+QUERIES["corrected_scores"] = corrected_scores
 QUERIES["mlp_user_day_scores"] = mlp_user_day_scores
 QUERIES["gbt_window_scores"] = gbt_window_scores
