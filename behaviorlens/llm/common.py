@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from behaviorlens.sources.store import file_system, new_folder
+
 #: The characters that count as white space, `[\x20\x09-\x0D]`.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,38 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
-
-    Only a session on one machine that names none, as in tests, gets a temporary one.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder, which is deleted when the session ends."""
-    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, path = _file_system(spark, folder)
-    fs.deleteOnExit(path)
-    return folder
-
-
 def delete_folder(spark: SparkSession, folder: str) -> None:
-    fs, path = _file_system(spark, folder)
+    fs, path = file_system(spark, folder)
     fs.delete(path, True)
 
 
-def _file_system(spark: SparkSession, folder: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 class Scratch:
     """The written tables of one computation.
 
@@ -92,6 +65,29 @@ def cut(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).cut(df)
 
 
+#: Shares of the rows of one key.
+SHARES = 256
+
+
+def one_of_each(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, the first of each share first and the first of those then, so that a key's rows aren't one task's.
+
+    The rows have `share`, which does not follow from the key.
+    """
+    for by in ((*keys, "share"), keys):
+        rows = rows.withColumn("once", F.row_number().over(Window.partitionBy(*by).orderBy("share"))).where("once = 1").drop("once")
+    return rows
+
+
+def share() -> Column:
+    """A share for each row, by its place in the input."""
+    return F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).alias("share")
+
+
+def has_repeats(rows: DataFrame, *keys: str) -> bool:
+    return not rows.groupBy(*keys).count().where("count > 1").isEmpty()
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,10 +14,10 @@ execution splits the partition of a group of copies that holds a large part of a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behaviorlens.llm.common import Scratch, hash_pair, text_of, without_white_space
+from behaviorlens.llm.common import Scratch, has_repeats, hash_pair, one_of_each, share, text_of, without_white_space
 
 BLOCK_BYTES = 4096
 
@@ -124,8 +124,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def key(doc_id: str | Column, n_chars: Column, sha: Column) -> list[Column]:
         return [F.xxhash64(F.lit(k), doc_id, n_chars, sha).alias(f"k{k}") for k in (0, 1)]
 
-    stays = exact_groups(docs, id_col, text_col, block_bytes).where("kept").select(*key("doc_id", F.col("n_chars"), F.col("text_sha256")))
+    groups = exact_groups(docs, id_col, text_col, block_bytes)
+    stays = groups.where("kept").select(*key("doc_id", F.col("n_chars"), F.col("text_sha256")))
     text = text_of(text_col)
-    keyed = docs.select(*key(id_col, F.char_length(text).cast("long"), F.sha2(F.encode(without_white_space(text), "UTF-8"), 256)), F.struct("*").alias("row"))
-    once = F.row_number().over(Window.partitionBy("k0", "k1").orderBy("k0", "k1"))
-    return keyed.join(stays, ["k0", "k1"], "left_semi").withColumn("once", once).where("once = 1").select("row.*")
+    keyed = docs.select(*key(id_col, F.char_length(text).cast("long"), F.sha2(F.encode(without_white_space(text), "UTF-8"), 256)), share(), F.struct("*").alias("row"))
+    found = keyed.join(stays, ["k0", "k1"], "left_semi")
+    # Only rows with the same id and the same text are still there more than once.
+    found = one_of_each(found, "k0", "k1") if has_repeats(groups, "doc_id", "n_chars", "text_sha256") else found
+    return found.select("row.*")
