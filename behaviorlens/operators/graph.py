@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from behaviorlens import config as C
@@ -161,7 +161,8 @@ def http_edges(http: DataFrame) -> DataFrame:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    return edges.withColumnsRenamed({"src": "dst", "dst": "src"})
+    """The same edges from their target to their source."""
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])
 
 
 def known_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -169,18 +170,40 @@ def known_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> Dat
     return edges.join(sources.select(sources.columns[0]).distinct().toDF("src"), "src", "left_semi").join(targets.select(targets.columns[0]).distinct().toDF("dst"), "dst", "left_semi")
 
 
-def dense_ids(nodes: DataFrame, key: str) -> DataFrame:
-    """(key, idx): places in key order, from 0. Partitions are numbered on their own and then shifted by the sizes before them.
+def dense_ids(nodes: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, idx): places in key order, from 0. Partitions are numbered on their own and then shifted by the sizes before them.
 
     The ranges are drawn once and written, as both the numbers and the sizes read them.
     """
     spark = nodes.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = nodes.select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
+    ranged = nodes.select(*keys).distinct().repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumns({"_p": F.spark_partition_id(), "_m": F.monotonically_increasing_id()})
     ranged = written(ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-    return ranged.join(F.broadcast(before), "_p").select(key, (F.col("_b") + F.col("_i")).alias("idx"))  # one row per partition
+    return ranged.join(F.broadcast(before), "_p").select(*keys, (F.col("_b") + F.col("_i")).alias("idx"))  # one row per partition
+
+
+def window_ids(nodes: DataFrame, key: str) -> DataFrame:
+    """(window_start, key, idx): places within each window, from 0."""
+    ids = written(dense_ids(nodes, "window_start", key))
+    first = ids.groupBy("window_start").agg(F.min("idx").alias("_f"))
+    return ids.join(F.broadcast(first), "window_start").select("window_start", key, (F.col("idx") - F.col("_f")).alias("idx"))  # one row per window
+
+
+def numbered_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame, observation: Observation | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """The edges with the numbers of their ends as `src` and `dst`; those with an end that is no known node are dropped.
+
+    `sources` and `targets` have (*by, key, idx). What is dropped is counted in the same pass:
+    `observation` gets n_edges, n_skipped, and the least and largest numbers of the others.
+    """
+    s, t = sources.toDF(*by, "src", "_s"), targets.toDF(*by, "dst", "_t")
+    joined = edges.join(s, [*by, "src"], "left").join(t, [*by, "dst"], "left")
+    known = F.col("_s").isNotNull() & F.col("_t").isNotNull()
+    if observation is not None:
+        ends = [f(F.when(known, F.col(c))).alias(f"{n}_{e}") for c, e in (("_s", "src"), ("_t", "dst")) for f, n in ((F.min, "min"), (F.max, "max"))]
+        joined = joined.observe(observation, F.count(F.lit(1)).alias("n_edges"), F.count_if(~known).alias("n_skipped"), *ends)
+    return joined.where(known).drop("src", "dst").withColumnsRenamed({"_s": "src", "_t": "dst"})
 
 
 def in_windows(log: DataFrame, first: str, last: str, size: int = 28, stride: int = 7) -> DataFrame:

@@ -6,14 +6,15 @@ at once, keyed by window_start. Both are a dict of nodes and a dict of edges, wh
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from behaviorlens.functions import predicates as P
 from behaviorlens.operators import graph as G
+from behaviorlens.sources.store import written
 
 #: Ends of each kind of edge, as kinds of nodes.
 ENDS = {"logon": ("user", "pc"), "usb": ("user", "pc"), "file": ("user", "file"), "email": ("user", "user"), "http": ("user", "url")}
@@ -22,8 +23,11 @@ KEYS = {"user": "user", "pc": "pc", "url": "domain", "file": "filename"}
 
 @dataclass(frozen=True)
 class Graph:
+    """`observed` has, as nodes/kind and edges/kind, what is known of the tables that are counted once they were read."""
+
     nodes: dict[str, DataFrame]
     edges: dict[str, DataFrame]
+    observed: dict[str, Observation] = field(default_factory=dict)
 
 
 def between(logs: dict[str, DataFrame], start: str, end: str) -> dict[str, DataFrame]:
@@ -32,10 +36,11 @@ def between(logs: dict[str, DataFrame], start: str, end: str) -> dict[str, DataF
     return {k: x.where((F.col("date") >= low) & (F.col("date") <= high)) for k, x in logs.items()}
 
 
-def hetero_graph(logs: dict[str, DataFrame], insiders: DataFrame, start: str, end: str, hidden: DataFrame | None = None) -> Graph:
+def hetero_graph(logs: dict[str, DataFrame], insiders: DataFrame, start: str, end: str, hidden: DataFrame | None = None, excluded: DataFrame | None = None) -> Graph:
     """The graph of a stretch of time: nodes with `idx` and their features, users with label `y`; edges with `src` and `dst` as numbers.
 
-    `hidden` users keep their nodes and edges, and have `in_training` false.
+    `hidden` users keep their nodes and edges, and have `in_training` false; `excluded` users have
+    no node, so that their edges are skipped. All tables are observed.
     """
     own = between(logs, start, end)
     labels = insiders.select(F.col("user_id").alias("user"), F.lit(1).alias("y")).distinct()
@@ -43,17 +48,49 @@ def hetero_graph(logs: dict[str, DataFrame], insiders: DataFrame, start: str, en
     unseen = users.limit(0).select("user") if hidden is None else hidden.select("user").distinct()
     users = users.join(unseen.withColumn("_h", F.lit(True)), "user", "left").withColumn("in_training", F.col("_h").isNull()).drop("_h")
     nodes = {"user": users, "pc": G.pc_nodes(own), "url": G.url_nodes(own["http"]), "file": G.file_nodes(own["file"])}
+    if excluded is not None:
+        nodes["user"] = nodes["user"].join(excluded.select("user").distinct(), "user", "left_anti")
+    observed = {k: Observation(k) for k in (*(f"nodes/{k}" for k in KEYS), *(f"edges/{k}" for k in ENDS))}
     nodes = {k: x.join(G.dense_ids(x, KEYS[k]), KEYS[k]) for k, x in nodes.items()}
+    counted = {k: _counted(x, observed[f"nodes/{k}"]) for k, x in nodes.items()}
     edges = {
         "logon": G.logon_edges(own["logon"]), "usb": G.usb_edges(own["device"]), "file": G.file_edges(own["file"]),
-        "email": G.email_edges(own["email"], nodes["user"].select("user")), "http": G.http_edges(own["http"]),
+        "email": G.email_edges(own["email"], users), "http": G.http_edges(own["http"]),
     }
-    numbered = {}
-    for k, (source, target) in ENDS.items():
-        s = nodes[source].select(F.col(KEYS[source]).alias("src"), F.col("idx").alias("_s"))
-        t = nodes[target].select(F.col(KEYS[target]).alias("dst"), F.col("idx").alias("_t"))
-        numbered[k] = edges[k].join(s, "src").join(t, "dst").drop("src", "dst").withColumnsRenamed({"_s": "src", "_t": "dst"})
-    return Graph(nodes, numbered)
+    ids = {k: x.select(KEYS[k], "idx") for k, x in nodes.items()}
+    numbered = {k: G.numbered_edges(edges[k], ids[s], ids[t], observed[f"edges/{k}"]) for k, (s, t) in ENDS.items()}
+    return Graph(counted, numbered, observed)
+
+
+def _counted(nodes: DataFrame, observation: Observation) -> DataFrame:
+    """The nodes, with their number, the largest idx, rows with an odd label and rows with a feature that is no number observed."""
+    odd = ~F.col("y").isin(0, 1) if "y" in nodes.columns else F.lit(False)
+    gaps = P.any_of(F.lit(False), *[F.col(c).isNull() | F.isnan(c) for c, t in nodes.dtypes if t == "double"])
+    return nodes.observe(observation, F.count(F.lit(1)).alias("n"), F.max("idx").alias("max_idx"), F.count_if(odd).alias("odd_labels"), F.count_if(gaps).alias("gaps"))
+
+
+def measure(graph: Graph, folder: str | None = None) -> dict[str, dict]:
+    """What was observed of all tables, which are read once for it: written below a folder, or to nowhere."""
+    for name, table in {**{f"nodes/{k}": t for k, t in graph.nodes.items()}, **{f"edges/{k}": t for k, t in graph.edges.items()}}.items():
+        writer = table.write.mode("overwrite")
+        writer.format("noop").save() if folder is None else writer.parquet(f"{folder}/{name}")
+    return {k: o.get for k, o in graph.observed.items()}
+
+
+def problems(measured: dict[str, dict]) -> list[str]:
+    """What is wrong with a measured graph: numbers with gaps, ends out of bounds, odd labels, features that aren't numbers."""
+    found = []
+    for kind in KEYS:
+        m = measured[f"nodes/{kind}"]
+        if m["n"] and m["max_idx"] != m["n"] - 1:
+            found.append(f"{kind}: {m['n']} nodes are numbered to {m['max_idx']}")
+        found += [f"{kind}: {m[c]} rows with {what}" for c, what in (("odd_labels", "an odd label"), ("gaps", "a feature that is no number")) if m[c]]
+    for kind, ends in ENDS.items():
+        m = measured[f"edges/{kind}"]
+        for end, node in zip(("src", "dst"), ends):
+            if m["n_edges"] > m["n_skipped"] and (m[f"min_{end}"] < 0 or m[f"max_{end}"] >= measured[f"nodes/{node}"]["n"]):
+                found.append(f"{kind}: {end} is out of bounds")
+    return found
 
 
 def cumulative_graphs(logs: dict[str, DataFrame], insiders: DataFrame, start: str, ends: dict[str, str]) -> dict[str, Graph]:
@@ -96,6 +133,19 @@ def windowed_graph(logs: dict[str, DataFrame], windows: dict, prior_days: int =
     return Graph(nodes, edges)
 
 
+def numbered_windows(graph: Graph, both_ways: bool = True) -> Graph:
+    """The graphs of all windows with nodes numbered from 0 in each, edges between numbers, and each edge once more from its target as rev_..."""
+    ids = {k: written(G.window_ids(x, KEYS[k])) for k, x in graph.nodes.items()}
+    nodes = {k: x.join(ids[k], ["window_start", KEYS[k]]) for k, x in graph.nodes.items()}
+    observed, edges = {f"edges/{k}": Observation(k) for k in ENDS}, {}
+    for k, (source, target) in ENDS.items():
+        ends = graph.edges[k].withColumnsRenamed({"user": "src", "recipient" if k == "email" else KEYS[target]: "dst"})
+        edges[k] = G.numbered_edges(ends, ids[source], ids[target], observed[f"edges/{k}"], by=("window_start",))
+        if both_ways:
+            edges[f"rev_{k}"] = G.reverse(edges[k])
+    return Graph(nodes, edges, observed)
+
+
 def graph_statistics(table: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """(name, n, min, max, mean, nonzero) of numeric columns: `nonzero` is the share of values that aren't 0."""
     long = table.select(*[F.col(n).cast("double") for n in names]).unpivot([], list(names), "name", "x")

@@ -74,18 +74,24 @@ def day_features(logs: dict[str, DataFrame], day: str, user: str | None = None)
     return daily_features({k: own(x) for k, x in logs.items()})
 
 
-def score_day(logs: dict[str, DataFrame], day: str, statistics: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.7, top: int = 3) -> DataFrame:
+def score_day(logs: dict[str, DataFrame], day: str, statistics: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.7, top: int = 3, model: str = "model") -> DataFrame:
     """Alerts of one day: id, user, date, score, status, created_at, top_features (names).
 
     `statistics` has (feature, mean, std) of the training days. `score` takes (user, day, feature,
-    z) and returns (user, day, prob); rows above the threshold become open alerts.
+    z) and returns (user, day, prob); rows above the threshold become open alerts. The id follows
+    from user, date and model, so an alert has the same one whenever it is made.
     """
     rows = long_form(day_features(logs, day), ["user", "day"]).join(F.broadcast(statistics), "feature")  # a row per feature
     z = rows.select("user", "day", "feature", ((F.col("x") - F.col("mean")) / (F.col("std") + 1e-8)).alias("z"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("z", 9)).alias("o"), "feature"))), 1, top)
     names = z.groupBy("user", "day").agg(F.transform(best, lambda x: x["feature"]).alias("top_features"))
     found = score(z).where(F.col("prob") > threshold).join(names, ["user", "day"])
-    return found.select(F.expr("uuid()").alias("id"), "user", F.col("day").alias("date"), F.round("prob", 4).alias("score"), F.lit("open").alias("status"), F.current_timestamp().alias("created_at"), "top_features")
+    return found.select(alert_id(F.col("user"), F.col("day"), model).alias("id"), "user", F.col("day").alias("date"), F.round("prob", 4).alias("score"), F.lit("open").alias("status"), F.current_timestamp().alias("created_at"), "top_features")
+
+
+def alert_id(user: Column, day: Column, model: str) -> Column:
+    """32 hexadecimal digits for a user, a day and a model."""
+    return F.substring(F.sha2(F.concat_ws("|", user, day.cast("string"), F.lit(model)), 256), 1, 32)
 
 
 def append_alerts(alerts: DataFrame, folder: str) -> None:

@@ -81,7 +81,3 @@ class FeatureStore:
         fs, place = file_system(self.spark, f"{self.root}/{version}")
         fs.delete(place, True)
 
-
-def save_graph(edges: DataFrame, folder: str) -> None:
-    """Window edges or nodes, one folder per window."""
-    edges.write.mode("overwrite").partitionBy("window_start").parquet(folder)
