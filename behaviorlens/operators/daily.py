@@ -63,29 +63,29 @@ def _aggregate(name: str) -> Column:
     return F.coalesce(F.sum(F.col(name).cast("long")), F.lit(0)).alias(name)
 
 
-def log_features(log: DataFrame, kind: str) -> DataFrame:
-    """The features of one log by (user, day)."""
+def log_features(log: DataFrame, kind: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The features of one log by (user, day), and by other columns of it if there are any."""
     columns = measures()[kind]
     if kind == "file" and "to_removable_media" not in log.columns:
         log = log.withColumn("to_removable_media", F.lit(None).cast("string"))
-    rows = log.where(F.col("user").isNotNull()).select("user", P.day(F.col("date")).alias("day"), *[m.alias(n) for n, m in columns.items()])
-    return rows.groupBy("user", "day").agg(*[_aggregate(n) for n in columns])
+    rows = log.where(F.col("user").isNotNull()).select("user", P.day(F.col("date")).alias("day"), *by, *[m.alias(n) for n, m in columns.items()])
+    return rows.groupBy("user", "day", *by).agg(*[_aggregate(n) for n in columns])
 
 
-def daily_features(logs: dict[str, DataFrame]) -> DataFrame:
-    """user, day and the eighteen features, for every user and day with an event in some log.
+def daily_features(logs: dict[str, DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
+    """user, day and the eighteen features, for every user and day with an event in some log; with `by`, for each of its values apart.
 
     Each log is first aggregated on its own, so that a distinct count expands no rows of another
     log; the union is then of small rows, one per log, user and day.
     """
     parts = []
     for kind, log in logs.items():
-        own = log_features(log, kind)
-        parts.append(own.select("user", "day", *[F.col(n) if n in own.columns else _nothing(n) for n in C.FEATURES]))
+        own = log_features(log, kind, by)
+        parts.append(own.select("user", "day", *by, *[F.col(n) if n in own.columns else _nothing(n) for n in C.FEATURES]))
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("user", "day").agg(*[F.coalesce(F.sum(n), F.lit(0.0 if n in AMOUNTS else 0)).alias(n) for n in C.FEATURES])
+    return rows.groupBy("user", "day", *by).agg(*[F.coalesce(F.sum(n), F.lit(0.0 if n in AMOUNTS else 0)).alias(n) for n in C.FEATURES])
 
 
 def _nothing(name: str) -> Column:

@@ -19,6 +19,7 @@ from behaviorlens.operators import evaluation as E
 from behaviorlens.operators import scoring as S
 from behaviorlens.operators import windows as W
 from behaviorlens.sources.csv_logs import exists
+from behaviorlens.sources.store import written
 
 #: Window sizes that the ablation tries, in days.
 ABLATION_SIZES = (7, 14, 28, 56)
@@ -56,10 +57,9 @@ def split_features(logs: dict[str, DataFrame], insiders: DataFrame, train_end: s
     Each event goes to the split that its own time is in, so a day that a split's end cuts through
     has a row in both, as features of separate splits have.
     """
-    column = lambda log: log.withColumn("_split", D.time_split(F.col("date"), train_end, validation_end, inclusive_end_day))
-    parted = {k: column(x) for k, x in logs.items()}
-    parts = [D.daily_features({k: x.where(F.col("_split") == s) for k, x in parted.items()}).withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
-    return D.label_days(reduce(DataFrame.unionByName, parts), D.malicious_days(insiders))
+    split = D.time_split(F.col("date"), train_end, validation_end, inclusive_end_day)
+    rows = D.daily_features({k: x.withColumn("split", split) for k, x in logs.items()}, by=("split",))
+    return D.label_days(rows, D.malicious_days(insiders))
 
 
 def split_summary(rows: DataFrame) -> DataFrame:
@@ -95,14 +95,14 @@ def cross_validate(rows: DataFrame, fit: Callable[[DataFrame, Column, int], Data
     `rows` has user, window_start and label. `fit` takes all rows, which of them are held out, and
     the seed, fits on the others and returns the scores (user, window_start, label, prob) of those.
     """
-    users = rows.groupBy("user").agg(F.max("label").alias("_p"))
-    scores = []
+    rows = written(rows)  # so that features are made once, and not for each fold and metric
+    users, scores = rows.groupBy("user").agg(F.max("label").alias("_p")), []
     for seed in seeds:
-        dealt = rows.join(E.folds(users, n, seed, F.col("_p")).drop("_p"), "user")
+        dealt = written(rows.join(E.folds(users, n, seed, F.col("_p")).drop("_p"), "user"))
         for k in range(n):
             found = fit(dealt, F.col("fold") == k, seed)
             scores.append(found.withColumns({"seed": F.lit(seed), "fold": F.lit(k)}))
-    scored = reduce(DataFrame.unionByName, scores)
+    scored = written(reduce(DataFrame.unionByName, scores))
     return scored, fold_metrics(scored, insiders, threshold)
 
 
@@ -126,17 +126,38 @@ def max_history(days: DataFrame) -> DataFrame:
     return days.groupBy("user").agg(F.count("*").alias("n")).agg(F.max("n").alias("max_days"))
 
 
-def window_ablation(days: DataFrame, insiders: DataFrame, sizes: tuple[int, ...] = ABLATION_SIZES, stride: int = 7) -> DataFrame:
-    """(size, n_windows, positives, status) of each window size: ok, or why it is skipped."""
-    longest = max_history(days)
+def window_ablation(days: DataFrame, insiders: DataFrame, sizes: tuple[int, ...] = ABLATION_SIZES, stride: int = 7, score: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(size, n_windows, positives, status) of each window size: ok, or why it is skipped.
+
+    With `score` there are `auprc` of the sizes that are ok, null for others, and `is_best`, the
+    size with the largest one, the smaller size among equals. `score` takes the rows of the windows
+    of one size (user, start, idx, day) and their labels (user, start, window_start, label) and
+    returns (user, start, label, prob); what it fits, it has to fit out of fold.
+    """
+    history = max_history(days).first()
+    longest = history[0] if history and history[0] else 0
     parts = []
     for size in sizes:
         config = WindowConfig(size=size, stride=stride)
-        windows = W.label_windows(W.window_rows(days.select("user", "day"), config), insiders, config)
-        counts = windows.agg(F.count("*").alias("n_windows"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("positives"))
-        status = F.when(F.coalesce("max_days", F.lit(0)) < size, "skipped_insufficient_history").when(F.col("positives") == 0, "skipped_no_positive_windows").otherwise("ok")
-        parts.append(counts.join(F.broadcast(longest)).select(F.lit(size).alias("size"), "n_windows", "positives", status.alias("status")))  # one row each
-    return reduce(DataFrame.unionByName, parts)
+        rows = W.window_rows(days.select("user", "day"), config)
+        labelled = W.label_windows(rows, insiders, config)
+        labelled = labelled if score is None else written(labelled)
+        counts = labelled.agg(F.count("*").alias("n_windows"), F.coalesce(F.sum(F.col("label").cast("long")), F.lit(0)).alias("positives"))
+        status = F.when(F.lit(longest < size), "skipped_insufficient_history").when(F.col("positives") == 0, "skipped_no_positive_windows").otherwise("ok")
+        part = counts.select(F.lit(size).alias("size"), "n_windows", "positives", status.alias("status"))
+        if score is not None:
+            auprc = F.lit(None).cast("double").alias("auprc")
+            if longest >= size and not labelled.where("label = 1").isEmpty():
+                part = part.join(F.broadcast(E.ranking_metrics(score(rows, labelled).select("label", "prob"), []).select("auprc")))  # one row each
+            else:
+                part = part.withColumn("auprc", auprc)
+        parts.append(part)
+    out = reduce(DataFrame.unionByName, parts)
+    if score is None:
+        return out
+    out = written(out)  # as many rows as sizes
+    best = out.where("auprc is not null").agg(F.max_by("size", F.struct("auprc", -F.col("size"))).alias("_best"))
+    return out.join(F.broadcast(best)).withColumn("is_best", F.coalesce(F.col("size") == F.col("_best"), F.lit(False))).drop("_best")
 
 
 def feature_importance(model, names: tuple[str, ...], n: int = 20) -> list[tuple[str, float]]:

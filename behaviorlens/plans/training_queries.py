@@ -15,6 +15,7 @@ from behaviorlens.plans import daily_queries as DQ
 from behaviorlens.plans import evaluation_queries as EQ
 from behaviorlens.plans import graph_queries as GQ
 from behaviorlens.plans import testviews as V
+from behaviorlens.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 TRAIN_END, VALIDATION_END, DAY = "2024-01-18", "2024-01-24", "2024-01-15"
@@ -77,6 +78,33 @@ _register(
 )
 
 
+def _ablation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each window size with the area under precision and recall of the windows' mean |z|."""
+    z = written(DQ.bootstrap_z(spark, sf_dir))
+
+    def score(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+        means = rows.join(z, ["user", "day"]).groupBy("user", "start").agg(F.round(F.avg(F.abs("z")), 5).alias("prob"))
+        return labelled.select("user", "start", "label").join(means, ["user", "start"])
+
+    found = T.window_ablation(z.select("user", "day").distinct(), V.insiders(spark, sf_dir), score=score)
+    return found.withColumn("auprc", F.round("auprc", 6))
+
+
+_SCORE_SQL = "p{n} AS (SELECT {n} AS size, o.\"user\", o.start, any_value(overlap) AS overlap, round(avg(abs(z)), 5) AS prob FROM o{n} o JOIN days d ON d.\"user\" = o.\"user\" AND rn >= o.start AND rn < o.start + {n} JOIN z ON z.\"user\" = d.\"user\" AND z.day = d.day GROUP BY ALL)"
+_register(
+    "ablation_auprc",
+    _ablation_scores,
+    f'{DQ.WITH},\n{DQ.Z_SQL}, days AS (SELECT "user", day, row_number() OVER (PARTITION BY "user" ORDER BY day) - 1 AS rn, count(*) OVER (PARTITION BY "user") AS n FROM (SELECT DISTINCT "user", day FROM features)),'
+    + ",".join(f"{_ablation_sql(n)},\n{_SCORE_SQL.format(n=n)}" for n in T.ABLATION_SIZES)
+    + ", ab AS (" + " UNION ALL ".join(f"SELECT * FROM c{n}" for n in T.ABLATION_SIZES) + "), ps AS (" + " UNION ALL ".join(f"SELECT * FROM p{n} WHERE overlap >= 0.5 OR overlap = 0" for n in T.ABLATION_SIZES) + """),
+ct AS (SELECT size, prob, count(*) FILTER (overlap >= 0.5) AS pos, count(*) FILTER (overlap = 0) AS neg FROM ps GROUP BY ALL),
+tt AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY size) AS p, sum(neg) OVER (PARTITION BY size) AS n FROM ct WINDOW w AS (PARTITION BY size ORDER BY prob DESC)),
+au AS (SELECT size, CASE WHEN max(p) > 0 AND max(n) > 0 THEN sum(pos * (tp / (tp + fp)::DOUBLE)) / max(p) ELSE 0 END AS auprc FROM tt GROUP BY size),
+st AS (SELECT ab.*, CASE WHEN (SELECT max(n) FROM days) < size THEN 'skipped_insufficient_history' WHEN positives = 0 THEN 'skipped_no_positive_windows' ELSE 'ok' END AS status FROM ab)
+SELECT st.*, CASE WHEN status = 'ok' THEN round(auprc, 6) END AS auprc, coalesce(size = (SELECT arg_max(size, auprc) FROM au JOIN st USING (size) WHERE status = 'ok'), FALSE) AS is_best FROM st LEFT JOIN au USING (size)""",
+)
+
+
 def _fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows with their mean |z| as the score, in five folds and two seeds that a user's number names."""
     rows = EQ.flagged_windows(spark, sf_dir).withColumn("_u", F.substring("user", 2, 9).cast("int"))
