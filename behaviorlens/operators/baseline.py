@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +69,26 @@ def _fold(config: BaselineConfig) -> Column:
         moved = F.struct(m.alias("m"), v.alias("v"), z.alias("z"), (s["i"] + 1).alias("i"))
         return F.when(before, kept).otherwise(moved)
 
+    def stretch(state: Column, days: Column) -> Column:
+        """The state after some days, and z of each of them."""
+        start = F.struct(state.alias("s"), F.array().cast("array<struct<day: date, z: double>>").alias("out"))
+        return F.aggregate(days, start, lambda acc, r: let(step(acc["s"], r), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(r["day"].alias("day"), s["z"].alias("z")))).alias("out"))))
+
+    # Appending copies an array, so the days go in stretches as long as the root of their number, each with its own array.
     first = F.struct(F.col("m0").alias("m"), F.col("v0").alias("v"), F.lit(0.0).alias("z"), F.lit(0).alias("i"))
-    # The states of all days, each from the last one: linear in the days but for the copies of small structs.
-    out = F.aggregate(
-        "days",
-        F.struct(first.alias("s"), F.array().cast("array<struct<day: date, z: double>>").alias("out")),
-        lambda acc, r: _next(acc, step(acc["s"], r), r),
-        lambda acc: acc["out"],
+    length = F.greatest(F.ceil(F.sqrt(F.size("days"))), F.lit(1)).cast("int")
+    stretches = let(length, lambda n: F.transform(F.sequence(F.lit(0), F.floor((F.size("days") - 1) / n).cast("int")), lambda k: F.slice("days", k * n + 1, n)))
+    return F.aggregate(
+        stretches,
+        F.struct(first.alias("s"), F.array().cast("array<array<struct<day: date, z: double>>>").alias("parts")),
+        lambda acc, days: let(stretch(acc["s"], days), lambda r: F.struct(r["s"].alias("s"), F.concat(acc["parts"], F.array(r["out"])).alias("parts"))),
+        lambda acc: F.flatten(acc["parts"]),
     )
-    return out
 
 
-def _next(acc: Column, state: Column, r: Column) -> Column:
-    bound = F.transform(F.array(state), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(r["day"].alias("day"), s["z"].alias("z")))).alias("out")))
-    return F.get(bound, F.lit(0))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def deviations(features: DataFrame, cohorts: DataFrame | None = None, floors: DataFrame | None = None, config: BaselineConfig = BaselineConfig()) -> DataFrame:
@@ -91,7 +99,11 @@ def deviations(features: DataFrame, cohorts: DataFrame | None = None, floors: Da
     z 0 until then; with fewer days all are 0. Deviations are floored by `floors` (feature,
     median_std) times `floor_ratio`, or by 0.1 without them.
     """
-    history = long_form(features, ["user", "day"]).groupBy("user", "feature").agg(F.array_sort(F.collect_list(F.struct("day", "x"))).alias("days"))
+    # One row for a user's day is shuffled; the features are taken apart after it.
+    values = F.array(*[F.col(n).cast("double") for n in C.FEATURES])
+    users = features.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("day", values.alias("x")))).alias("days"))
+    history = users.select("user", "days", F.posexplode(F.array(*map(F.lit, C.FEATURES))).alias("_i", "feature"))
+    history = history.select("user", "feature", F.transform("days", lambda d: F.struct(d["day"].alias("day"), F.get(d["x"], F.col("_i")).alias("x"))).alias("days"))
     if cohorts is None:
         history = history.withColumns({"pm": F.lit(None).cast("double"), "pv": F.lit(None).cast("double")})
     else:
