@@ -159,11 +159,16 @@ def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(row["positions"], pa.int64()), pa.array(ids, pa.int64())], ["position", "id"])
 
 
+#: Segments that are named to the scan, at most; more are joined.
+FEW = 1000
+
+
 def read_tokens(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
     """(position, id) for each distinct position asked for, counted over all ids of the folder from 0; others are left out.
 
     A position finds its segment by the stretch of SEGMENT_IDS positions it lies in, and its id by
-    one look at each level: no other id is decoded. Null positions are left out.
+    one look at each level: no other id is decoded, and of few positions no other segment's levels
+    are read. Null positions are left out.
     """
     segments = spark.read.schema(SEGMENT_DDL).parquet(folder)
     shards = segments.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -174,7 +179,10 @@ def read_tokens(spark: SparkSession, folder: str, positions: DataFrame) -> DataF
     asked = positions.select(F.col("position").cast("long")).where("position >= 0").distinct().withColumn("stretch", stretch(F.col("position")))
     met = asked.join(places, "stretch").where("position >= start and position < start + n_ids")
     wanted = met.groupBy("shard", "segment", "start").agg(F.collect_list("position").alias("positions"))  # as many as a segment has ids, at most
-    return wanted.join(segments.select("shard", "segment", "levels"), ["shard", "segment"]).select("start", "positions", "levels").mapInArrow(_pick, "position bigint, id bigint")
+    levels, keys = segments.select("shard", "segment", "levels"), met.select("shard", "segment").distinct().limit(FEW + 1).collect()
+    if len(keys) <= FEW:  # the scan then leaves out the row groups and pages of all others
+        levels = levels.where(F.col("shard").isin({k.shard for k in keys}) & F.col("segment").isin({k.segment for k in keys}))
+    return wanted.join(levels, ["shard", "segment"]).select("start", "positions", "levels").mapInArrow(_pick, "position bigint, id bigint")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, keeps_space: bool = False, end_id: int = 1) -> DataFrame:

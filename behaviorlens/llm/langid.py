@@ -1,7 +1,7 @@
 """Language identification by bit-sliced Bloom filters over character n-grams.
 
-One table of words holds the Bloom filters of all languages: bit l of a word belongs to the filter
-of language l. The bitwise AND of the words at an n-gram's positions is the set of all languages
+One table of words holds the Bloom filters of all languages: bit l of a place belongs to the filter
+of language l; a place has as many words as all languages need, WORD_BITS of them in each. The bitwise AND of the words at an n-gram's positions is the set of all languages
 that contain the n-gram. Each language is given the count of its bits over the n-grams of a text,
 corrected for its filter's rate of false positives, and the highest count decides.
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import Scratch, cut, hash_pair, text_of
@@ -31,8 +31,8 @@ N, HASHES, SHARE = 3, 3, 0.2
 MAX_BITS, SPARSE = 22, 16
 #: Log2 of the words of a block of a filter that isn't broadcast.
 BLOCK_BITS = 10
-#: Languages that fit into a word.
-MAX_LANGUAGES = 62
+#: Languages of one word.
+WORD_BITS = 62
 #: N-grams that are looked at together, and n-grams that a task counts before it hands them on.
 PART, HELD = 1 << 20, 1 << 20
 
@@ -107,9 +107,18 @@ def choose(languages: tuple[str, ...], fallback: str | None, total: int, hits: n
     return languages[best], float(hits[best] / hits.sum())
 
 
+def _words_for(languages: int) -> int:
+    return max(1, -(-languages // WORD_BITS))
+
+
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    """Which of the masks, a row of words each, have a language."""
+    return (masks[:, language // WORD_BITS] >> (language % WORD_BITS)) & 1
+
+
 @dataclass(frozen=True)
 class BlockFilters:
-    """Filters as rows (block, words) of 2**BLOCK_BITS words each; blocks without n-grams have no row."""
+    """Filters as rows (block, words) of 2**BLOCK_BITS places each; blocks without n-grams have no row."""
 
     languages: tuple[str, ...]
     fallback: str | None
@@ -125,14 +134,14 @@ class LanguageFilters:
     words: np.ndarray
 
     def containing(self, gram: np.ndarray) -> np.ndarray:
-        """The mask of all languages that contain each n-gram, with the filters' false positives."""
+        """The masks of all languages that contain each n-gram, with the filters' false positives."""
         bits, out = int(len(self.words)).bit_length() - 1, None
         for at in positions(gram, bits):
             out = self.words[at] if out is None else out & self.words[at]
         return out
 
     def false_positives(self) -> np.ndarray:
-        return np.array([np.count_nonzero((self.words >> l) & 1) / len(self.words) for l in range(len(self.languages))]) ** HASHES
+        return np.array([np.count_nonzero(_bit(self.words, l)) / len(self.words) for l in range(len(self.languages))]) ** HASHES
 
     def decide(self, text: str | None, false_positives: np.ndarray) -> tuple[str, float]:
         total, hits = 0, np.zeros(len(self.languages))
@@ -141,7 +150,7 @@ class LanguageFilters:
                 continue
             masks = self.containing(gram)
             total += len(gram)
-            hits += [np.count_nonzero((masks >> l) & 1) for l in range(len(self.languages))]
+            hits += [np.count_nonzero(_bit(masks, l)) for l in range(len(self.languages))]
         return choose(self.languages, self.fallback, total, hits, false_positives)
 
 
@@ -152,27 +161,31 @@ def fit(rows: DataFrame, share: float = SHARE, max_bits: int = MAX_BITS) -> Lang
     """
     rows = rows.where("lang is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = cut(rows.mapInArrow(_count, COUNTS_DDL).groupBy("gram", "lang").agg(F.sum("n").alias("n")))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages don't fit into a mask")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # as many as languages
     if not totals:
-        return LanguageFilters((), None, np.zeros(1, np.int64))
+        return LanguageFilters((), None, np.zeros((1, 1), np.int64))
     languages = tuple(sorted(totals))
-    scale = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
-    bit = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, 1 << i)])
-    rates = counts.groupBy("gram").agg(F.collect_list(F.struct((F.col("n") / scale[F.col("lang")]).alias("rate"), bit[F.col("lang")].cast("long").alias("bit"))).alias("of"))
-    high = F.array_max(F.transform("of", lambda x: x["rate"]))
-    mask = F.aggregate(F.filter("of", lambda x: x["rate"] >= share * high), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"]))
-    masks = cut(rates.select("gram", mask.alias("mask")))
+    n_words = _words_for(len(languages))
+    facts = F.create_map(*[F.lit(x) if isinstance(x, str) else x for i, lang in enumerate(languages) for x in (lang, F.struct(F.lit(float(totals[lang])).alias("total"), F.lit(i).alias("l")))])
+    known = counts.withColumn("of", facts[F.col("lang")])
+    rates = known.groupBy("gram").agg(F.collect_list(F.struct((F.col("n") / F.col("of.total")).alias("rate"), F.col("of.l").alias("l"))).alias("of"))
+    rates = rates.withColumn("high", F.array_max(F.transform("of", lambda x: x["rate"])))
+
+    def word(k: int) -> Column:
+        own = F.filter("of", lambda x: (x["rate"] >= share * F.col("high")) & (F.floor(x["l"] / WORD_BITS) == k))
+        return F.aggregate(own, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x["l"] - k * WORD_BITS)))
+
+    names = [f"m{k}" for k in range(n_words)]
+    masks = cut(rates.select("gram", *[word(k).alias(n) for k, n in enumerate(names)]))
     n_grams, fallback = masks.count(), max(languages, key=lambda x: (totals[x], x))
     bits = max(10, (SPARSE * n_grams).bit_length())
-    if bits > max_bits:
+    if n_words << bits > 1 << max_bits:
         return _fit_blocks(masks, languages, fallback, -(-SPARSE * n_grams >> BLOCK_BITS))
     low = F.lit((1 << bits) - 1).cast("long")
     at = F.explode(F.array(*[F.shiftrightunsigned("gram", 21 * k).bitwiseAND(low) for k in range(HASHES)]))
-    filled = masks.select(at.alias("at"), "mask").groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
-    words = np.zeros(1 << bits, np.int64)
-    words[filled["at"].to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64)
+    filled = masks.select(at.alias("at"), *names).groupBy("at").agg(*[F.bit_or(n).alias(n) for n in names]).toPandas()
+    words = np.zeros((1 << bits, n_words), np.int64)
+    words[filled["at"].to_numpy(np.int64)] = filled[names].to_numpy(np.int64)
     return LanguageFilters(languages, fallback, words)
 
 
@@ -185,17 +198,18 @@ def _fill(n_languages: int):
         at, words = None, None
 
         def drain():
-            share = [np.count_nonzero((words >> l) & 1) / len(words) for l in range(n_languages)]
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([words], pa.list_(pa.int64())), pa.array([share], pa.list_(pa.float64()))], ["block", "words", "share"])
+            share = [np.count_nonzero(_bit(words, l)) / len(words) for l in range(n_languages)]
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([words.ravel()], pa.list_(pa.int64())), pa.array([share], pa.list_(pa.float64()))], ["block", "words", "share"])
 
         for batch in batches:
-            block, gram, mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            block, gram, *mask = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            mask = np.stack(mask, axis=1)
             starts = np.flatnonzero(np.diff(block, prepend=-1))
             for i, j in zip(starts, [*starts[1:], len(block)]):
                 if at != block[i]:
                     if at is not None:
                         yield drain()
-                    at, words = int(block[i]), np.zeros(1 << BLOCK_BITS, np.int64)
+                    at, words = int(block[i]), np.zeros((1 << BLOCK_BITS, mask.shape[1]), np.int64)
                 for p in positions(gram[i:j].astype(np.int64).view(np.uint64), BLOCK_BITS):
                     np.bitwise_or.at(words, p, mask[i:j])
         if at is not None:
@@ -205,7 +219,7 @@ def _fill(n_languages: int):
 
 
 def _fit_blocks(masks: DataFrame, languages: tuple[str, ...], fallback: str, n_blocks: int) -> BlockFilters:
-    rows = masks.select(_block(n_blocks).alias("block"), "gram", "mask").repartition("block").sortWithinPartitions("block")
+    rows = masks.select(_block(n_blocks).alias("block"), *masks.columns).repartition("block").sortWithinPartitions("block")
     blocks = cut(rows.mapInArrow(_fill(len(languages)), "block bigint, words array<bigint>, share array<double>"))
     rates = blocks.agg(*[F.sum(F.pow(F.col("share")[l], HASHES)).alias(f"l{l}") for l in range(len(languages))]).first()
     return BlockFilters(languages, fallback, blocks.select("block", "words"), n_blocks, np.array(rates) / n_blocks)
@@ -246,10 +260,15 @@ def _predict_by_blocks(rows: DataFrame, model: BlockFilters) -> DataFrame:
     keyed = rows.select("doc_id", *[h.alias(x) for h, x in zip(hash_pair(8, text_of("text")), ("r1", "r2"))], text_of("text").alias("text"))
     grams = keyed.select("r1", "r2", "text").mapInArrow(_text_grams, "r1 bigint, r2 bigint, gram bigint, n bigint")
     met = grams.withColumn("block", _block(model.n_blocks)).join(model.blocks, "block", "left")
-    words = [F.get("words", F.shiftrightunsigned("gram", 21 * k).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int")) for k in range(HASHES)]
-    mask = F.coalesce(words[0].bitwiseAND(words[1]).bitwiseAND(words[2]), F.lit(0).cast("long"))
-    each = [F.sum(F.col("n") * F.shiftright("mask", l).bitwiseAND(F.lit(1).cast("long"))) for l in range(len(model.languages))]
-    counted = met.select("r1", "r2", "n", mask.alias("mask")).groupBy("r1", "r2").agg(F.sum("n").alias("total"), F.array(*each).alias("hits"))
+    n_words = _words_for(len(model.languages))
+
+    def mask(k: int) -> Column:
+        places = [F.shiftrightunsigned("gram", 21 * h).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int") for h in range(HASHES)]
+        words = [F.get("words", p * n_words + k) for p in places]
+        return F.coalesce(words[0].bitwiseAND(words[1]).bitwiseAND(words[2]), F.lit(0).cast("long"))
+
+    each = [F.sum(F.col("n") * F.shiftright(f"m{l // WORD_BITS}", l % WORD_BITS).bitwiseAND(F.lit(1).cast("long"))) for l in range(len(model.languages))]
+    counted = met.select("r1", "r2", "n", *[mask(k).alias(f"m{k}") for k in range(n_words)]).groupBy("r1", "r2").agg(F.sum("n").alias("total"), F.array(*each).alias("hits"))
     found = counted.mapInArrow(_choose_all(model.languages, model.fallback, model.false_positives), "r1 bigint, r2 bigint, lang_pred string, score double")
     out = keyed.select("doc_id", "r1", "r2").join(found, ["r1", "r2"], "left")
     return out.select("doc_id", F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -265,7 +284,7 @@ def predict(docs: DataFrame, model: LanguageFilters | BlockFilters, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if isinstance(model, BlockFilters):
         return _predict_by_blocks(rows, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**MAX_BITS words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2**max_bits words
     return rows.mapInArrow(_predict(shared), "doc_id bigint, lang_pred string, score double")
 
 

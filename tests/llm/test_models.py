@@ -70,10 +70,21 @@ def test_languages_with_more_ngrams_than_the_broadcast_filter_holds(spark):
     assert all(r.lang_pred == truth[r.doc_id] and r.score > 0.8 for r in got if r.doc_id in truth)
 
 
+def test_seventy_languages_take_two_words(spark):
+    names = [f"l{k:02}" for k in range(70)]
+    rows = [(i, f"{''.join(chr(97 + (k * 7 + j * (k + 3) + i) % 23) for j in range(40))} {chr(0x400 + k)}{chr(0x430 + k % 30)}{chr(0x4E00 + k)}" * 3, n) for k, n in enumerate(names) for i in range(k * 10, k * 10 + 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for bits in (langid.MAX_BITS, 10):
+        model = langid.fit(docs.select("lang", "text"), max_bits=bits)
+        assert isinstance(model, langid.BlockFilters) == (bits == 10) and len(model.languages) == 70
+        got = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).collect()}
+        assert sum(got[i] == n for i, _, n in rows) >= 0.98 * len(rows)
+
+
 def test_full_filters_say_nothing_and_symbols_are_no_letters():
-    full = langid.LanguageFilters(("a", "b"), "b", np.full(1024, 3, np.int64))
+    full = langid.LanguageFilters(("a", "b"), "b", np.full((1024, 1), 3, np.int64))
     assert full.decide("some text", full.false_positives()) == ("b", 0.0)
-    half = langid.LanguageFilters(("a", "b"), "b", np.where(np.arange(1024) < 512, 3, 1))
+    half = langid.LanguageFilters(("a", "b"), "b", np.where(np.arange(1024) < 512, 3, 1)[:, None])
     assert half.decide("some text with words", half.false_positives())[0] == "b"
     assert len(langid.grams("\U0001F600\U0001F601")) == 0 and len(langid.grams("\U00020000\U00020001")) == 2
 

@@ -122,3 +122,7 @@ def test_any_token_is_read_without_its_neighbours(spark, tmp_path):
     got = {r.position: r.id for r in dac.read_tokens(spark, folder, asked).collect()}
     assert got == {i: ids[i] for i in (0, 1, 255, 256, 777, len(ids) - 1)}
     assert dac.read_tokens(spark, folder, asked.limit(0)).count() == 0
+    # One position: the scan of the levels names its segment and gives out no more than a few.
+    found = dac.read_tokens(spark, folder, asked.where("position is not null").limit(1))
+    plan = found._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(shard), IsNotNull(segment)" in plan and "EqualTo(shard," in plan.replace("In(shard, [", "EqualTo(shard,")
