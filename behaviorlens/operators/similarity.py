@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from behaviorlens.sources.store import written
+
+#: Signs of a code.
+CODE_BITS = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -43,8 +53,6 @@ def find_similar(points: DataFrame, queries: DataFrame, k: int = 10, block_numbe
 
 def random_planes(dimension: int, bits: int, tables: int, seed: int = 0) -> list[list[list[float]]]:
     """For each table, `bits` random directions: the same for the same seed."""
-    import numpy as np
-
     return np.random.default_rng(seed).standard_normal((tables, bits, dimension)).tolist()
 
 
@@ -53,20 +61,68 @@ def lsh_neighbours(points: DataFrame, queries: DataFrame, planes: list[list[list
 
     A bucket is the signs of a vector on a table's directions. Points and queries meet by an equi
     join on (table, bucket), so a query is compared with its buckets and not with all points. It
-    is approximate: more tables or fewer bits find more.
+    is approximate, and good for vectors in clusters: more tables or fewer bits find more. Without
+    clusters it misses many; `code_neighbours` doesn't. Pairs are known by their ids before their
+    vectors come in.
     """
 
-    def keyed(rows: DataFrame, id_col: str, name: str) -> DataFrame:
+    def keyed(rows: DataFrame, id_col: str, name: str) -> tuple[DataFrame, DataFrame]:
         signs = lambda table: F.concat(*[F.when(dot(F.col(name), F.array(*map(F.lit, p))) >= 0, "1").otherwise("0") for p in table])
-        buckets = F.posexplode(F.array(*[signs(t) for t in planes])).alias("table", "bucket")
-        return rows.select(F.col("point_id").alias(id_col), normalised(F.col("vector")).alias(name)).where(F.col(name).isNotNull()).select(id_col, name, buckets)
+        vectors = rows.select(F.col("point_id").alias(id_col), normalised(F.col("vector")).alias(name)).where(F.col(name).isNotNull())
+        return vectors, vectors.select(id_col, F.posexplode(F.array(*[signs(t) for t in planes])).alias("table", "bucket"))
 
-    met = keyed(points, "point_id", "v").join(keyed(queries, "query_id", "qv"), ["table", "bucket"]).where("query_id <> point_id")
-    scored = met.select("query_id", "point_id", dot(F.col("v"), F.col("qv")).alias("score")).dropDuplicates(["query_id", "point_id"])
+    (v, own), (q, asked) = keyed(points, "point_id", "v"), keyed(queries, "query_id", "qv")
+    met = own.join(asked, ["table", "bucket"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
+    scored = met.join(v, "point_id").join(q, "query_id").select("query_id", "point_id", dot(F.col("v"), F.col("qv")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def sign_codes(points: DataFrame, dimension: int, bits: int = CODE_BITS, seed: int = 0) -> DataFrame:
+    """(point_id, vector, code): the signs of a vector on `bits` random directions, 64 of them in a word.
+
+    Points without a direction, or of another dimension, are left out.
+    """
+    directions = np.random.default_rng(seed).standard_normal((dimension, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dimension)
+                words = np.packbits(x @ directions >= 0, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(words), pa.list_(pa.int64()))], ["point_id", "vector", "code"])
+
+    kept = points.select("point_id", normalised(F.col("vector")).alias("vector")).where("vector is not null").where(F.size("vector") == dimension)
+    kind = dict(points.dtypes)["point_id"]
+    return kept.mapInArrow(run, f"point_id {kind}, vector array<double>, code array<bigint>")
+
+
+def code_neighbours(points: DataFrame, queries: DataFrame, dimension: int, k: int = 10, share: float = 0.05, bits: int = CODE_BITS, seed: int = 0, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+    """`find_similar` among the `share` of the points whose sign codes are nearest to the query's: (query_id, point_id, score, rank).
+
+    Every point is looked at by its code, 64 signs at a time; the distances of a query to all of
+    them are counted first, a number for each distance, and tell which distance the share reaches.
+    Only points as near as that are compared by their vectors. It is approximate: with 512 bits
+    and a share of 0.05 a test holds it to a recall of 0.9 on vectors without any clusters.
+    Queries are a stated set that meets the points in blocks of bounded size.
+    """
+    coded, asked = written(sign_codes(points, dimension, bits, seed)), written(sign_codes(queries, dimension, bits, seed))
+    n, n_queries, order, parts = coded.count(), asked.count(), [F.desc("score"), "point_id"], []
+    blocks = max(1, -(-n_queries * dimension // block_numbers))
+    apart = F.aggregate(F.zip_with("code", "_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("point_id"), F.lit(blocks)) == i).toDF("query_id", "_vector", "_code")
+        met = coded.join(F.broadcast(block), F.col("point_id") != F.col("query_id")).withColumn("apart", apart)
+        counts = met.groupBy("query_id", "apart").agg(F.count("*").alias("n"))  # a row per query and distance
+        upto = F.sum("n").over(Window.partitionBy("query_id").orderBy("apart"))
+        reach = written(counts.withColumn("upto", upto).where(F.col("upto") - F.col("n") < F.lit(max(k, share * n))).groupBy("query_id").agg(F.max("apart").alias("reach")))
+        near = coded.join(F.broadcast(block.join(reach, "query_id")), F.col("point_id") != F.col("query_id")).where(apart <= F.col("reach"))
+        parts.append(near.select("query_id", "point_id", dot(F.col("vector"), F.col("_vector")).alias("score")))
+    scored = reduce(DataFrame.unionByName, parts).withColumn("part", F.spark_partition_id())
+    local = scored.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("r") <= k)
+    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "point_id", "score", "rank")
+
+
 def mean_embedding(points: DataFrame, key: str) -> DataFrame:
     """(key, vector): the mean of the vectors of each key."""
     cells = points.select(key, F.posexplode("vector").alias("i", "x")).groupBy(key, "i").agg(F.avg("x").alias("x"))

@@ -241,3 +241,7 @@ _register(
     "lsh_neighbours",
     lambda s, d: SIM.lsh_neighbours(EQ._points(s, d), EQ._points(s, d).where("point_id % 100 = 0"), SIM.random_planes(64, 4, 12), 5).select("query_id", "point_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank")),
 )
+_register(
+    "code_neighbours",
+    lambda s, d: SIM.code_neighbours(EQ._points(s, d), EQ._points(s, d).where("point_id % 100 = 0"), 64, 5).select("query_id", "point_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank")),
+)
