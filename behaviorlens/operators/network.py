@@ -288,6 +288,23 @@ def scores(rows: DataFrame, nets: dict[int, Network], *keys: str) -> DataFrame:
     return rows.select(*keys, "_fold", "_x").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", prob double")
 
 
+def hidden(rows: DataFrame, nets: dict[int, Network], *keys: str) -> DataFrame:
+    """(keys, vector): the values of the last hidden layer, by the network of each row's fold; nothing is dropped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, x = _arrays(batch, "_fold", "_x")
+            width = len(next(iter(nets.values())).layers[-2][1])
+            vectors = np.zeros((len(fold), width))
+            for k in np.unique(fold).tolist():
+                vectors[fold == k] = _forward(nets[k], x[fold == k], None)[-2]
+            own = [batch.column(i) for i in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(list(vectors), pa.list_(pa.float64()))], [*keys, "vector"])
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.select(*keys, "_fold", "_x").mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", vector array<double>")
+
+
 def corrected(net: Network, corrections: DataFrame, steps: int = 3, rate: float = 1e-4) -> Network:
     """The network after a few steps of Adam from its stored weights, towards the labels of a table of corrections.
 

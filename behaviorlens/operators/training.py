@@ -26,12 +26,16 @@ ABLATION_SIZES = (7, 14, 28, 56)
 METRICS = ("auprc", "auroc", "best_f1", "median_days")
 
 
-def validate_config(values: dict) -> dict:
-    """The values themselves; ValueError names those that no training can use.
+#: What a training has to be told.
+REQUIRED = ("epochs", "batch_size", "patience", "learning_rate", "layers")
+
+
+def validate_config(values: dict, required: Iterable[str] = ()) -> dict:
+    """The values themselves; ValueError names those that no training can use, and required ones that are absent.
 
     Counts are positive whole numbers, rates positive numbers, and the last layer has one unit.
     """
-    wrong = []
+    wrong = [name for name in required if name not in values]
     for name, x in values.items():
         if name == "layers":
             if not x or x[-1] != 1 or any(not isinstance(n, int) or isinstance(n, bool) or n <= 0 for n in x):
@@ -180,6 +184,23 @@ def compare_models(spark: SparkSession, folder: str, models: Iterable[str]) -> D
     return rows.where("auprc is not null").orderBy(F.desc("auprc"), "model")
 
 
+#: The areas that a baseline has to exceed, and by which one rung has to exceed the one before it.
+GATES = {"baseline": 0.20, "temporal": 0.03, "graph": 0.02}
+
+
+def gates(results: DataFrame) -> DataFrame:
+    """(gate, value, needed, passed) from (rung, auprc), several models to a rung, of which the best counts.
+
+    The best baseline is measured by its own area, the temporal rung by what it is above that, the
+    graph rung by what it is above the temporal one. Without one of the two, value is null and the gate isn't passed.
+    """
+    best = results.agg(*[F.max(F.when(F.col("rung") == r, F.col("auprc"))).alias(r) for r in GATES])
+    values = {"baseline": F.col("baseline"), "temporal": F.col("temporal") - F.col("baseline"), "graph": F.col("graph") - F.col("temporal")}
+    rows = F.array(*[F.struct(F.lit(g).alias("gate"), values[g].alias("value"), F.lit(x).alias("needed")) for g, x in GATES.items()])
+    met = F.when(F.col("gate") == "baseline", F.col("value") > F.col("needed")).otherwise(F.round("value", 12) >= F.col("needed"))
+    return best.select(F.explode(rows).alias("g")).select("g.*").withColumn("passed", F.coalesce(met, F.lit(False)))
+
+
 def confusion_shares(counts: DataFrame) -> DataFrame:
     """The four counts as shares of their true class; 0 for a class without rows."""
     of = lambda part, *whole: F.coalesce(F.col(part) / F.nullif(reduce(lambda a, b: a + b, [F.col(w) for w in whole]), F.lit(0)), F.lit(0.0)).alias(f"{part}_share")

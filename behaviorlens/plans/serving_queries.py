@@ -12,6 +12,7 @@ from behaviorlens.operators import daily as D
 from behaviorlens.operators import models as M
 from behaviorlens.operators import network as N
 from behaviorlens.operators import scoring as S
+from behaviorlens.operators import similarity as SIM
 from behaviorlens.operators import windows as W
 from behaviorlens.plans import daily_queries as DQ
 from behaviorlens.plans import testviews as V
@@ -118,15 +119,26 @@ def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.out_of_fold(M.assemble(rows, names), fit)
 
 
-def network_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probabilities of a network under focal loss, of every window, with its user's traits, by one that hasn't seen the user."""
+def _network_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled windows as inputs of a network: z of all days and features, and the user's traits; with folds."""
     windows = W.flattened(DQ.z_windows(spark, sf_dir), C.FEATURES)
     windows = W.with_traits(windows, S.traits(V.ocean(spark, sf_dir), windows.select("user").distinct()))
     rows = M.dealt(windows.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"]))
-    rows = N.keyed(rows, F.col("values"), "user", "start", fold=F.col("fold"))
+    return N.keyed(rows, F.col("values"), "user", "start", fold=F.col("fold"))
+
+
+def network_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of a network under focal loss, of every window, with its user's traits, by one that hasn't seen the user."""
+    rows = _network_windows(spark, sf_dir)
     return N.scores(rows, N.fit(rows), "user", "start", "label")
 
 
+def user_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user, vector): the mean over a user's windows of the last hidden layer of one network for all."""
+    rows = _network_windows(spark, sf_dir).withColumn("_fold", F.lit(-1))
+    return SIM.mean_embedding(N.hidden(rows, N.fit(rows, N.Training(epochs=10)), "user"), "user")
+
+
 def corrected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user, day, before, after, is_correction): a network's scores of all days, and those after the day with the highest score was corrected to normal."""
     days = D.label_days(DQ.features(spark, sf_dir), D.malicious_days(V.insiders(spark, sf_dir))).withColumnRenamed("is_malicious", "label")
@@ -142,5 +154,6 @@ def corrected_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["network_window_scores"] = network_window_scores
 QUERIES["corrected_scores"] = corrected_scores
+QUERIES["user_embeddings"] = user_embeddings
 QUERIES["mlp_user_day_scores"] = mlp_user_day_scores
 QUERIES["gbt_window_scores"] = gbt_window_scores

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from behaviorlens import schema as S
+from behaviorlens.operators.daily import malicious_days, time_split
 
 #: The family of each release.
 FAMILIES = {"r1": "r1", "r2": "r2", "r3.1": "r3x", "r3.2": "r3x", "r4.1": "r4x", "r4.2": "r4x", "r5.1": "r5x", "r5.2": "r5x", "r6.1": "r6x", "r6.2": "r6x"}
@@ -188,6 +189,17 @@ def load(spark: SparkSession, folder: str, version: str | None = None, finish: C
     )
 
 
+def load_data(spark: SparkSession, folder: str, train_end: str, validation_end: str, version: str | None = None) -> tuple[dict[str, dict[str, DataFrame]], DataFrame]:
+    """The logs of each split, and the labelled (user, day); a folder whose release can't be told is taken for r4.2."""
+    try:
+        version = version or detect(spark, folder)
+    except (FileNotFoundError, ValueError):
+        version = "r4.2"
+    data = load(spark, folder, version)
+    split = time_split(F.col("date"), train_end, validation_end)
+    return {s: {k: x.where(split == s) for k, x in data.logs.items()} for s in ("train", "val", "test")}, malicious_days(data.insiders)
+
+
 def provenance(spark: SparkSession, folder: str, bytes_of_file: int = 65536) -> DataFrame:
     """(path, length, sha256 of the first bytes) of the folder's own CSV files, by path.
 

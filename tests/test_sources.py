@@ -100,3 +100,11 @@ def test_senders_are_resolved(spark):
     email = spark.createDataFrame([(None, "X@dtaa.com"), ("kept", "q@dtaa.com")], "user string, `from` string")
     ldap = spark.createDataFrame([("u1", "x@DTAA.com")], "user_id string, email string")
     assert sorted(r.user for r in L.resolve_senders(email, ldap).collect()) == ["kept", "u1"]
+
+
+def test_splits_and_labels_of_a_folder(spark, folder):
+    splits, labels = L.load_data(spark, str(folder), "2010-01-04 12:00:00", "2010-01-05 08:00:00")
+    assert {s: x["logon"].count() for s, x in splits.items()} == {"train": 1, "val": 1, "test": 1} and set(splits["val"]) == set(L.LOGS)
+    assert [(r.user, r.day) for r in labels.orderBy("day").collect()] == [("AAF0535", dt.date(2010, 1, 5)), ("AAF0535", dt.date(2010, 1, 6))]
+    none, _ = L.load_data(spark, str(folder / "nowhere"), "2010-01-04", "2010-01-05")
+    assert none["train"]["http"].count() == 0

@@ -1,10 +1,14 @@
 """Latency, folds, holdouts, detection, cosine and the functions around training, on small rows."""
 
+import datetime as dt
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.functions import predicates as P
 from behaviorlens.operators import evaluation as E
+from behaviorlens.operators import fusion as FU
 from behaviorlens.operators import graph_assembly as GA
 from behaviorlens.operators import models as M
 from behaviorlens.operators import scoring as S
@@ -132,3 +136,51 @@ def test_hidden_users_keep_their_edges(spark):
     assert sorted((r.src, r.dst) for r in graph.edges["logon"].collect()) == [(0, 0), (1, 0)]
     more = GA.cumulative_graphs(logs, insiders, "2024-01-01", {"train": "2024-01-02 23:00", "test": "2024-12-31"})
     assert more["train"].nodes["user"].count() == 1 and more["test"].nodes["user"].count() == 3
+
+
+def test_required_values_have_to_be_there():
+    whole = {"epochs": 3, "batch_size": 8, "patience": 2, "learning_rate": 0.1, "layers": [8, 1]}
+    assert T.validate_config(whole, T.REQUIRED) == whole
+    with pytest.raises(ValueError, match="epochs, patience"):
+        T.validate_config({k: v for k, v in whole.items() if k not in ("epochs", "patience")}, T.REQUIRED)
+
+
+def test_gates(spark):
+    rows = [("baseline", 0.25), ("baseline", 0.10), ("temporal", 0.28), ("graph", 0.29)]
+    got = {r.gate: (r.value, r.passed) for r in T.gates(spark.createDataFrame(rows, "rung string, auprc double")).collect()}
+    assert got["baseline"] == (0.25, True) and got["temporal"][1] and got["temporal"][0] == pytest.approx(0.03) and not got["graph"][1]
+    assert not any(r.passed for r in T.gates(spark.createDataFrame([], "rung string, auprc double")).collect())
+
+
+def test_results_are_text_of_fixed_width():
+    text = E.results_table([{"model": "trees", "auprc": 0.51234, "auroc": 0.9, "best_f1": 0.4}, {"model": "mlp", "auprc": 0.5, "auroc": 0.91, "best_f1": 0.41}])
+    assert text.splitlines() == ["model  auprc   auroc   best_f1", "trees  0.5123  0.9000  0.4000", "mlp    0.5000  0.9100  0.4100"]
+
+
+def test_all_windows_of_a_user_are_on_one_side(spark):
+    days = spark.createDataFrame([(f"u{u}", dt.date(2010, 1, 4) + dt.timedelta(d)) for u in range(20) for d in range(50)], "user string, day date")
+    insiders = spark.createDataFrame([(f"u{u}", dt.datetime(2010, 1, 10), dt.datetime(2010, 2, 20), 1) for u in range(5)], "user_id string, attack_start timestamp_ntz, attack_end timestamp_ntz, scenario int")
+    got = T.split_windows(days, insiders).collect()
+    sides = {}
+    for r in got:
+        sides.setdefault(r.user, set()).add(r.held)
+    assert len(sides) == 20 and all(len(s) == 1 for s in sides.values())
+    held = {u for u, s in sides.items() if s == {True}}
+    assert len(held) == 4 and len(held & {f"u{u}" for u in range(5)}) == 1
+
+
+def test_a_loaded_pipeline_scores_like_the_stored_one(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(f"u{i}", float(rng.normal()), float(rng.normal()) if i % 7 else None, ("dev", "ops", None)[i % 3], int(i % 5 == 0)) for i in range(80)]
+    table = spark.createDataFrame(rows, "user string, x double, y double, role string, label int")
+    prepared = FU.prepared(table, ("x", "y"), ("role",))
+    store = FU.ModelStore(spark, str(tmp_path))
+    model = FU.fit(prepared, ("x", "y"), ("role",))
+    store.save("fusion", model, numbers=["x", "y"])
+    unseen = FU.prepared(spark.createDataFrame([("new", 0.1, None, "pilot", 0)], table.schema), ("x", "y"), ("role",)).union(prepared)
+    a, b = ({r.user: r.prob for r in M.scores(m, unseen, "user").collect()} for m in (model, store.load("fusion")))
+    assert a == b and len(a) == 81 and store.about("fusion") == {"numbers": ["x", "y"]} and store.names() == ["fusion"]
+    with pytest.raises(KeyError):
+        store.load("none")
+    store.save("fusion", model, numbers=[])
+    assert store.about("fusion") == {"numbers": []}
