@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from behaviorlens.llm.common import Scratch, text_of
 
 DIMENSIONS = ("source", "lang", "topic")
-#: What a marginal may be off its target in the end, rounds over all dimensions at most, steps towards the budget.
-TOLERANCE, ROUNDS, STEPS = 1e-10, 60, 12
+#: What a marginal may be off its target in the end, and rounds over all dimensions at most.
+TOLERANCE, ROUNDS = 1e-10, 60
 #: Cells that one task rakes with ease.
 SMALL = 100_000
 #: The share of tokens that is kept, and the exponent that flattens a marginal into its target.
@@ -85,21 +85,25 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tole
     return now.select(*targets, "tokens", (F.col("weight") / F.col("tokens")).alias("rate")), residual, done
 
 
-def calibrate(raked: DataFrame, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
-    """The cells with `probability` = min(1, c * rate), c such that the expected tokens are `keep` of all.
+def calibrate(raked: DataFrame, keep: float = KEEP) -> DataFrame:
+    """The cells with `probability` = min(1, c * rate), c such that the expected tokens are `keep` of all, and `budget_gap`.
 
     Cells whose documents are all kept give what they have; c is set on the others, until no more
-    cell is full.
+    cell is full, which takes no more steps than there are cells and mostly a few. `budget_gap` is
+    what the expected tokens are short of the budget, as a part of it: more than rounding only where
+    too many cells are wanted at rate 0.
     """
     total = raked.agg(F.sum("tokens")).first()[0] or 0.0
-    c = keep
-    for _ in range(steps):
+    c, full_before = keep, -1
+    while True:
         full = F.col("rate") * c >= 1
-        held = raked.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("rate"))).alias("rest")).first()
-        if not held.rest:
+        held = raked.agg(F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("tokens") * F.col("rate"))).alias("rest"), F.count_if(full).alias("n")).first()
+        if not held.rest or held.n == full_before:
             break
-        c = max(c, (keep * total - (held.full or 0.0)) / held.rest)
-    return raked.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * c))
+        full_before, c = held.n, max(c, (keep * total - (held.full or 0.0)) / held.rest)
+    expected = (held.full or 0.0) + c * (held.rest or 0.0)
+    gap = 1 - expected / (keep * total) if keep * total else 0.0
+    return raked.withColumns({"probability": F.least(F.lit(1.0), F.col("rate") * c), "budget_gap": F.lit(gap)})
 
 
 def dice(id_col: str, seed: int) -> Column:
@@ -109,11 +113,11 @@ def dice(id_col: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, temperature: float = TEMPERATURE, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", topic: Callable[[Column, Column], Column] = topic_of) -> DataFrame:
-    """`row`, the input row; tokens, source, lang, topic, rate, residual, probability and selected.
+    """`row`, the input row; tokens, source, lang, topic, rate, residual, probability, budget_gap and selected.
 
     `topic` makes a text's topic of the text and its tokens, as from a classifier's column. Without
     targets each marginal's own shares are tempered; `residual` is how far the worst key is
-    off its target after raking. Null and empty texts count as one token, long ones whole; null keys
+    off its target after raking, `budget_gap` how far the expected tokens fall short. Null and empty texts count as one token, long ones whole; null keys
     are a key of their own; rows with the same id are drawn together, so ties stay or go as one;
     null ids draw as one. An empty table gives no rows; columns with clashing names stay in `row`.
     """
@@ -121,11 +125,11 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: floa
     with Scratch(docs.sparkSession) as scratch:
         cells = scratch.cut(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
         raked, residual, _ = rake(cells, targets or {d: tempered(cells, d, temperature) for d in DIMENSIONS}, scratch)
-        found = scratch.cut(calibrate(raked, keep).select(*DIMENSIONS, "rate", F.lit(residual).alias("residual"), "probability"))
+        found = scratch.cut(calibrate(raked, keep).select(*DIMENSIONS, "rate", F.lit(residual).alias("residual"), "probability", "budget_gap"))
         scratch.keep(found)
     # A row per cell: the planner knows the written size, and broadcasts it only if that is small.
     out = rows.join(found, list(DIMENSIONS)).withColumn("selected", dice(f"row.{id_col}", seed) < F.col("probability"))
-    return out.select("row", "tokens", *DIMENSIONS, "rate", "residual", "probability", "selected")
+    return out.select("row", "tokens", *DIMENSIONS, "rate", "residual", "probability", "budget_gap", "selected")
 
 
 def sample(docs: DataFrame, **parameters) -> DataFrame:

@@ -125,8 +125,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Rounds that the SQL unrolls; the query stops sooner, at mixing.TOLERANCE.
-SQL_ROUNDS = 24
+#: Rounds of raking, and steps towards the budget, that the SQL unrolls; the query stops where nothing changes any more.
+SQL_ROUNDS, SQL_STEPS = 24, 12
 
 
 def _mixing_sql() -> str:
@@ -159,7 +159,7 @@ def _mixing_sql() -> str:
     joins = " ".join(f"JOIN {factor[d]} r_{d} ON r_{d}.{d} = c.{d}" for d in dims)
     parts.append(f"raked AS MATERIALIZED (SELECT c.*, {' * '.join(f'r_{d}.f' for d in dims)} AS rate FROM cells c {joins})")
     parts.append(f"c_0 AS (SELECT {mixing.KEEP}::DOUBLE AS c)")
-    for k in range(1, mixing.STEPS + 1):
+    for k in range(1, SQL_STEPS + 1):
         parts.append(
             f"c_{k} AS MATERIALIZED (SELECT greatest(any_value(c), ({mixing.KEEP}::DOUBLE * (SELECT n FROM total) - coalesce(sum(tokens) FILTER (WHERE rate * c >= 1), 0)) "
             f"/ nullif(sum(tokens * rate) FILTER (WHERE rate * c < 1), 0)) AS c FROM raked, c_{k - 1})"
@@ -168,7 +168,7 @@ def _mixing_sql() -> str:
         "WITH " + ",\n".join(parts) + f"""
 SELECT doc_id, t.source, t.lang, t.topic, t.tokens::BIGINT AS n_tokens, round(rate, 6) AS rate, round(least(1.0, rate * c), 6) AS probability,
        ('0x' || substr(md5(doc_id::VARCHAR || ':0'), 1, 12))::BIGINT::DOUBLE / 281474976710656.0 < least(1.0, rate * c) AS selected
-FROM t JOIN raked USING (source, lang, topic), c_{mixing.STEPS}
+FROM t JOIN raked USING (source, lang, topic), c_{SQL_STEPS}
 """
     )
 

@@ -237,3 +237,14 @@ def test_mix_of_odd_rows(spark):
     only = mixing.mix(long, keep=1.0).first()
     assert (only.tokens, only.topic, only.row.topic) == (300_000, "long", "x")
     assert {r.topic for r in mixing.mix(long, topic=lambda text, tokens: F.lit("any")).collect()} == {"any"}
+
+
+def test_the_budget_is_met_or_the_gap_is_told(spark):
+    # Twenty cells whose rates fill one after another, so that the budget takes many steps.
+    cells = spark.createDataFrame([(f"s{k}", 100.0 * 1.5**k, 3.0 / 1.5**k) for k in range(20)], "source string, tokens double, rate double")
+    total = sum(r.tokens for r in cells.collect())
+    got = mixing.calibrate(cells, 0.97).collect()
+    assert sum(r.tokens * r.probability for r in got) == pytest.approx(0.97 * total) and abs(got[0].budget_gap) < 1e-9
+    short = mixing.calibrate(cells.withColumn("rate", F.when(F.col("source") == "s19", 0.0).otherwise(F.col("rate"))), 0.97).collect()
+    assert short[0].budget_gap == pytest.approx(1 - (total - 100.0 * 1.5**19) / (0.97 * total))
+    assert mixing.calibrate(cells.limit(0)).count() == 0
