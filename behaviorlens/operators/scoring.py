@@ -75,13 +75,18 @@ def day_features(logs: dict[str, DataFrame], day: str, user: str | None = None)
 
 
 def score_day(logs: dict[str, DataFrame], day: str, statistics: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.7, top: int = 3, model: str = "model") -> DataFrame:
-    """Alerts of one day: id, user, date, score, status, created_at, top_features (names).
+    """Alerts of one day, as `score_days` makes them; only that day's events are read."""
+    return score_days(day_features(logs, day), statistics, score, threshold, top, model)
+
+
+def score_days(features: DataFrame, statistics: DataFrame, score: Callable[[DataFrame], DataFrame], threshold: float = 0.7, top: int = 3, model: str = "model") -> DataFrame:
+    """Alerts of daily features: id, user, date, score, status, created_at, top_features (names).
 
     `statistics` has (feature, mean, std) of the training days. `score` takes (user, day, feature,
     z) and returns (user, day, prob); rows above the threshold become open alerts. The id follows
     from user, date and model, so an alert has the same one whenever it is made.
     """
-    rows = long_form(day_features(logs, day), ["user", "day"]).join(F.broadcast(statistics), "feature")  # a row per feature
+    rows = long_form(features, ["user", "day"]).join(F.broadcast(statistics), "feature")  # a row per feature
     z = rows.select("user", "day", "feature", ((F.col("x") - F.col("mean")) / (F.col("std") + 1e-8)).alias("z"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("z", 9)).alias("o"), "feature"))), 1, top)
     names = z.groupBy("user", "day").agg(F.transform(best, lambda x: x["feature"]).alias("top_features"))

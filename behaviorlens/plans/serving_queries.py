@@ -69,7 +69,7 @@ ev_all AS (
 QUERIES["score_history"] = lambda s, d: S.score_history(B.daily_magnitude(DQ.bootstrap_z(s, d)).select("user", "day", F.least(F.lit(1.0), F.col("mean_abs_z") / 3).alias("score")), 14)
 ORACLES["score_history"] = f"""{DQ.WITH},\n{DQ.Z_SQL},\n{DQ.MAGNITUDE_SQL}, cal AS (SELECT unnest(generate_series(hi - INTERVAL 13 DAY, hi, INTERVAL 1 DAY))::DATE AS day FROM (SELECT max(day)::TIMESTAMP AS hi FROM mag))
 SELECT u."user", cal.day, round(CASE WHEN mean_abs_z IS NULL THEN 0 ELSE least(1.0, mean_abs_z / 3) END, 4) AS score FROM (SELECT DISTINCT "user" FROM mag) u CROSS JOIN cal LEFT JOIN mag ON mag."user" = u."user" AND mag.day = cal.day"""
-_NAMES = ("logon_count", "file_count", "email_sent_count", "http_request_count")
+_NAMES = C.FEATURES
 QUERIES["standardized_features"] = lambda s, d: S.standardised(DQ.features(s, d).select("user", "day", *_NAMES), F.col("day") <= F.lit("2024-01-18").cast("date"), _NAMES).select("user", "day", *[F.round(n, 5).alias(n) for n in _NAMES])
 ORACLES["standardized_features"] = (
     f"{DQ.WITH},\n{DQ._FEATURES_SQL}, st AS (SELECT " + ", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in _NAMES) + " FROM features WHERE day <= DATE '2024-01-18')\n"

@@ -37,7 +37,7 @@ _register(
 m AS (SELECT *, CASE WHEN {_IN_ATTACK} THEN 1 ELSE 0 END AS bad FROM k)
 SELECT split, count(*) AS rows, count(DISTINCT "user") AS users, sum(bad)::BIGINT AS malicious, round(sum(bad) / count(*)::DOUBLE, 6) AS ratio FROM m GROUP BY split""",
 )
-_NAMES = ("logon_count", "usb_connect_count", "file_count", "total_email_size")
+_NAMES = C.FEATURES
 
 
 def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +154,26 @@ def _day_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user", "date", "score", "status", F.array_join("top_features", ",").alias("top_features"))
 
 
+def _all_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of all days with the same score."""
+    features = DQ.features(spark, sf_dir)
+    score = lambda z: z.groupBy("user", "day").agg((1 / (1 + F.exp(-4 * F.avg("z")))).alias("prob"))
+    found = S.score_days(features, S.feature_statistics(D.long_form(features, ["user", "day"])), score, threshold=0.5, model="mean")
+    return found.select("id", "user", "date", "score", "status", F.array_join("top_features", ",").alias("top_features"))
+
+
+def _alerts_sql(day: str) -> str:
+    return f"""{DQ.WITH},\n{DQ._FEATURES_SQL}, st AS (SELECT feature, avg(x) AS m, stddev_samp(x) AS s FROM long GROUP BY feature),
+q AS (SELECT "user", day, feature, (x - m) / (s + 1e-8) AS z FROM long JOIN st USING (feature) {day}),
+r AS (SELECT *, row_number() OVER (PARTITION BY "user", day ORDER BY round(z, 9) DESC, feature) AS k FROM q),
+p AS (SELECT "user", day, 1 / (1 + exp(-4 * avg(z))) AS prob, string_agg(feature, ',' ORDER BY k) FILTER (k <= 3) AS top_features FROM r GROUP BY ALL)"""
+
+
+_register("score_day", _day_alerts, f"{_alerts_sql(f'WHERE day = DATE {chr(39)}{DAY}{chr(39)}')}\nSELECT \"user\", day AS date, round(prob, 4) AS score, 'open' AS status, top_features FROM p WHERE prob > 0.5")
 _register(
-    "score_day",
-    _day_alerts,
-    f"""{DQ.WITH},\n{DQ._FEATURES_SQL}, st AS (SELECT feature, avg(x) AS m, stddev_samp(x) AS s FROM long GROUP BY feature),
-q AS (SELECT "user", day, feature, (x - m) / (s + 1e-8) AS z FROM long JOIN st USING (feature) WHERE day = DATE '{DAY}'),
-r AS (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(z, 9) DESC, feature) AS k FROM q),
-p AS (SELECT "user", day, 1 / (1 + exp(-4 * avg(z))) AS prob, string_agg(feature, ',' ORDER BY k) FILTER (k <= 3) AS top_features FROM r GROUP BY ALL)
-SELECT "user", day AS date, round(prob, 4) AS score, 'open' AS status, top_features FROM p WHERE prob > 0.5""",
+    "score_days",
+    _all_alerts,
+    f"{_alerts_sql('')}\nSELECT substr(sha256(\"user\" || '|' || day::VARCHAR || '|mean'), 1, 32) AS id, \"user\", day AS date, round(prob, 4) AS score, 'open' AS status, top_features FROM p WHERE prob > 0.5",
 )
 _register(
     "correction_features",
