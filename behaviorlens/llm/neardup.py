@@ -17,6 +17,11 @@ other components of its bucket in the cells of a grid, where the bits of wider s
 counted, pairs that may still be links are confirmed on their full sets, and one link for each
 other component comes out. In a bucket of n members with k outside its largest component that is
 k * n counts of bits, in cells of bounded size that any number of tasks share; nothing is capped.
+
+What signatures miss is found by prefixes. Shingles have an order, the rarer first; two sets that
+are linked share one among the first few of each, as many as the threshold lets differ. Classes of
+unlike components that share such a shingle are compared on bit maps that can only come out too
+alike, then on their full sets, so no link is left out.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import Scratch, has_repeats, hash_pair, one_of_each, share, text_of
@@ -46,6 +51,12 @@ STARS = 4
 SMALL = 200_000
 #: A pair goes on if its estimate is at most so many standard deviations below the threshold.
 SLACK = 5.0
+#: Shingles are counted by their high bits, as many as leave SLOT_LOAD shingles to a slot, within bounds; slots of a row of counts.
+SLOT_LOAD, SLOT_BITS, SLOT_BLOCK = 32, (16, 22), 1 << 16
+#: Members of a prefix bucket on each side of a cell, and bits of a map of a set's parities.
+MET, MAP_BITS = 2048, 11
+#: Digests of sets that a task knows again, at most.
+SEEN = 1_000_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -213,6 +224,114 @@ def _is_linked(words: int, percent: int):
     return run
 
 
+def _slot_counts(words: int, bits: int):
+    """(block, counts): how many shingles of a task's texts fall into each slot, 65535 at most, a block of slots in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                items = np.concatenate([shingles(text, words) for text in part.column(0).to_pylist()])
+                counts += np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "counts"])
+
+    return run
+
+
+def _levels(group: pa.Table) -> pa.Table:
+    """The logarithms of the counts of a block of slots, a byte each."""
+    total = np.zeros(SLOT_BLOCK, np.int64)
+    for counts in group["counts"]:
+        total += np.frombuffer(counts.as_py(), np.uint16)
+    return pa.table({"block": group["block"][:1], "counts": pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())})
+
+
+def _prefixes(words: int, percent: int, bits: int, levels: np.ndarray):
+    """(token, s1, size, place): the first shingles of each set, those of the emptier slots first.
+
+    A set linked with this one has at least the threshold's share of it, so of one more shingle than
+    it may lack, it has one. Sets of one shingle are only like themselves. A task gives a set once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                tokens, digests, sizes, places = [], [], [], []
+                for text in part.column(0).to_pylist():
+                    items = shingles(text, words)
+                    s1 = _signed(xxhash.xxh64_intdigest(items.tobytes(), 1))
+                    if len(items) < 2 or s1 in seen:
+                        continue
+                    if len(seen) < SEEN:
+                        seen.add(s1)
+                    first = len(items) + -percent * len(items) // 100 + 1
+                    tokens.append(items[np.argsort(levels[items >> np.uint64(64 - bits)], kind="stable")[:first]].view(np.int64))
+                    count = len(tokens[-1])
+                    digests.append(np.full(count, s1))
+                    sizes.append(np.full(count, len(items), np.int32))
+                    places.append(np.arange(count, dtype=np.int32))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, digests, sizes, places)], ["token", "s1", "size", "place"])
+
+    return run
+
+
+def _maps(words: int):
+    """(node, size, parity): whether the number of a set's shingles in each of some slots is odd."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+                items = [shingles(text, words) for text in part.column(1).to_pylist()]
+                odd = [np.bincount((x >> np.uint64(64 - MAP_BITS)).astype(np.int64), minlength=1 << MAP_BITS) & 1 for x in items]
+                packed = pa.array([np.packbits(x.astype(np.uint8)).tobytes() for x in odd], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in items], pa.int64()), packed], ["node", "size", "parity"])
+
+    return run
+
+
+def _unlike_bits():
+    """In how many bits two maps differ: no more than shingles are in one of the two sets only."""
+
+    @F.pandas_udf("long")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype="int64")
+        x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(len(v), -1) for v in (a, b))
+        return pd.Series(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64))
+
+    return run
+
+
+def _prefix_pairs(texts: DataFrame, named: DataFrame, total: int, words: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b): classes with unlike labels that share a shingle of their prefixes and may be linked by their sizes and its places.
+
+    `texts` has one column, `named` (s1, node, label) and `total` is the number of shingles. Every
+    shingle counts for the order; any order gives every linked pair, this one few others. A bucket
+    of any size is dealt to the cells of a grid.
+    """
+    bits = min(max(int(np.log2(max(total // SLOT_LOAD, 1))), SLOT_BITS[0]), SLOT_BITS[1])
+    counts = texts.mapInArrow(_slot_counts(words, bits), "block int, counts binary").groupBy("block").applyInArrow(_levels, "block int, counts binary")
+    levels = np.frombuffer(b"".join(bytes(r.counts) for r in sorted(counts.collect(), key=lambda r: r.block)), np.uint8)  # a byte for each slot
+    rows = texts.mapInArrow(_prefixes(words, percent, bits, levels), "token bigint, s1 bigint, size int, place int")
+    by = Window.partitionBy("token")
+    shared = scratch.cut(rows.withColumns({"lo": F.min("s1").over(by), "hi": F.max("s1").over(by)}).where("lo <> hi").drop("lo", "hi"))
+    met = shared.join(named, "s1").select("token", "node", "label", "size", "place").distinct()
+    met = met.withColumns({"lo": F.min("label").over(by), "hi": F.max("label").over(by), "k": F.ceil(F.count("*").over(by) / MET)})
+    met = scratch.cut(met.where("lo <> hi").drop("lo", "hi"))
+    own, every = F.pmod(F.xxhash64("node"), F.col("k")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    sides = [met.select("token", *[F.col(c).alias(c + s) for c in ("node", "label", "size", "place")], own.alias(x), every.alias(y)) for s, x, y in (("1", "i", "j"), ("2", "j", "i"))]
+    like = 100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")
+    # The first shingle that two sets share has all others behind it.
+    enough = (100 + percent) * (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))).cast("long") >= percent * (F.col("size1") + F.col("size2")).cast("long")
+    pairs = sides[0].join(sides[1], ["token", "i", "j"]).where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & like & enough)
+    pairs = scratch.cut(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
+    scratch.drop(shared, met)
+    return pairs
+
+
 def components(links: DataFrame, labels: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, label) after the labels of linked nodes have been joined.
 
@@ -304,11 +423,11 @@ def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", estimate("pa", "pb").alias("estimate"))
         return cut(both.where(F.col("estimate") >= floor))
 
-    def texts_of(nodes: DataFrame) -> DataFrame:
+    def texts_of(nodes: DataFrame, any_share: bool = True) -> DataFrame:
         """(node, text) of the nodes; a repeated row gives its text once."""
         wanted = cut(members.join(nodes, "node").select("node", "r1", "r2"))
-        # Any share of the texts may be wanted, so this is a plain shuffle of both sides at every size.
-        found = docs.select(*_row_hashes(id_col, text_col), text_of(text_col).alias("text")).join(wanted.hint("merge"), ["r1", "r2"]).select("node", "text")
+        # Any share of the texts may be wanted, so this is a plain shuffle of both sides at every size; else the written size tells.
+        found = docs.select(*_row_hashes(id_col, text_col), text_of(text_col).alias("text")).join(wanted.hint("merge") if any_share else wanted, ["r1", "r2"]).select("node", "text")
         found = cut(found)
         if found.count() > wanted.count():
             once = cut(found.dropDuplicates(["node"]))
@@ -362,6 +481,19 @@ def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, pe
                 break
         if not inside.isEmpty():
             labels = components(_outlier_links(inside, wide, floor, percent, scratch), labels, scratch)
+        scratch.drop(wide)
+    scratch.drop(texts, inside, buckets)
+    # What no band or estimate has shown: classes that share a shingle of their prefixes.
+    total = full.agg(F.sum("n_shingles")).first()[0]
+    if total:
+        named = labels.join(classes, "node").select("s1", "node", "label")
+        pairs = _prefix_pairs(docs.select(text_of(text_col).cast("string").alias("text")), named, total, words, percent, scratch)
+        if not pairs.isEmpty():
+            texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), any_share=False)
+            maps = cut(texts.mapInArrow(_maps(words), "node bigint, size bigint, parity binary"))
+            ends = [maps.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("parity").alias(f"p{s}")) for s in "ab"]
+            may = (100 + percent) * _unlike_bits()("pa", "pb") <= (100 - percent) * (F.col("na") + F.col("nb"))
+            labels, _ = link(cut(pairs.join(ends[0], "a").join(ends[1], "b").where(may).select("a", "b")), texts, labels)
 
     named = labels.join(classes, "node").select("s1", "s2", "n_shingles", "label")
     found = sets.select("uid", "doc_id", "r1", "r2", "n_shingles", "s1", "s2").join(named, ["s1", "s2", "n_shingles"], "left")

@@ -128,3 +128,28 @@ def test_estimate_corrects_for_chance(spark, low_bits):
     for (i, j), e in got.items():
         exact = len(texts[i] & texts[j]) / len(texts[i] | texts[j])
         assert abs(e - exact) < 0.25
+
+
+def test_links_that_no_band_shows(spark):
+    """One band of 24 minima shows hardly any link, as 32 bands of 4 miss one in 200,000; all are found."""
+    rng = np.random.default_rng(11)
+    vocabulary, rows = [f"w{i}" for i in range(3000)], []
+    for group in range(30):
+        words = list(rng.choice(vocabulary, int(rng.integers(8, 120))))
+        for _ in range(3):
+            copy = list(words)
+            copy[int(rng.integers(0, 3))] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000 + i, "the same line at the head of many texts " * 3 + " ".join(rng.choice(vocabulary, 9 + i % 5))) for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), bands=1, rows=24).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(str, brute(rows)))
+
+
+def test_prefix_buckets_in_cells(spark, monkeypatch):
+    """A bucket dealt to many cells gives the same pairs."""
+    monkeypatch.setattr(neardup, "MET", 7)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*words[: 30 + i % 10], f"x{int(rng.integers(0, 9))}"])) for i in range(60)]
+    got = neardup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), bands=1, rows=40).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(str, brute(rows)))
