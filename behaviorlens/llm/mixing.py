@@ -13,9 +13,8 @@ A hot source is pre-aggregated like any other.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from behaviorlens.llm.common import Scratch, text_of
@@ -64,22 +63,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, tole
     """
     small = cells.count() <= SMALL
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    shares = {d: scratch.cut(t.select(F.col("key").alias(d), (F.col("share") * total).alias("wanted")), small) for d, t in targets.items()}
-    now = scratch.cut(cells.select(*targets, "tokens", F.col("tokens").alias("weight")), small)
-    residual, done = 0.0, 0
+    now = cells.select(*targets, "tokens", F.col("tokens").alias("weight"))
+    for d, t in targets.items():
+        now = now.join(t.select(F.col("key").alias(d), (F.col("share") * total).alias(f"wanted_{d}")), d, "left")
+    now = scratch.cut(now, small)
+
+    def with_sums(now: DataFrame, d: str) -> DataFrame:
+        """With `w`, the weight of the row's key: of few cells in the one task that has them all, without a join."""
+        if small:
+            return now.withColumn("w", F.sum("weight").over(Window.partitionBy(d)))
+        return now.join(now.groupBy(d).agg(F.sum("weight").alias("w")), d, "left")
+
+    columns, residual, done = now.columns, 0.0, 0
     while done < rounds:
         done, used = done + 1, [now]
         for d in targets:
-            sums = now.groupBy(d).agg(F.sum("weight").alias("w"))
-            factor = F.coalesce(F.col("wanted") / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0))
-            scaled = now.join(sums.join(shares[d], d).select(d, factor.alias("f")), d, "left")
-            now = scaled.select(*targets, "tokens", (F.col("weight") * F.coalesce("f", F.lit(0.0))).alias("weight"))
+            factor = F.coalesce(F.col(f"wanted_{d}") / F.nullif(F.col("w"), F.lit(0.0)), F.lit(0.0))
+            now = with_sums(now, d).withColumn("weight", F.col("weight") * factor).select(columns)
             if not small or d == list(targets)[-1]:
                 now = scratch.cut(now, small)
                 used.append(now)
         scratch.drop(*used[:-1])
-        off = [now.groupBy(d).agg(F.sum("weight").alias("w")).join(shares[d], d).select(F.abs(F.col("w") / F.nullif(F.col("wanted"), F.lit(0.0)) - 1).alias("off")) for d in targets]
-        residual = reduce(DataFrame.union, off).agg(F.max("off")).first()[0] or 0.0
+        off = now
+        for d in targets:
+            off = with_sums(off, d).withColumn(f"off_{d}", F.abs(F.col("w") / F.nullif(F.col(f"wanted_{d}"), F.lit(0.0)) - 1)).drop("w")
+        residual = max(x or 0.0 for x in off.agg(*[F.max(f"off_{d}") for d in targets]).first())
         if residual <= tolerance:
             break
     return now.select(*targets, "tokens", (F.col("weight") / F.col("tokens")).alias("rate")), residual, done
