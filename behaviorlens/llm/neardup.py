@@ -51,8 +51,8 @@ STARS = 4
 SMALL = 200_000
 #: A pair goes on if its estimate is at most so many standard deviations below the threshold.
 SLACK = 5.0
-#: Shingles are counted by their high bits, as many as leave SLOT_LOAD shingles to a slot, within bounds; slots of a row of counts.
-SLOT_LOAD, SLOT_BITS, SLOT_BLOCK = 32, (16, 22), 1 << 16
+#: Shingles are counted by so many of their high bits; slots of a row of counts.
+SLOT_BITS, SLOT_BLOCK = 20, 1 << 16
 #: Members of a prefix bucket on each side of a cell, and bits of a map of a set's parities.
 MET, MAP_BITS = 2048, 11
 #: Digests of sets that a task knows again, at most.
@@ -60,6 +60,8 @@ SEEN = 1_000_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: The n_shingles of a row of counts.
+COUNTS = -1
 SETS_DDL = "doc_id bigint, r1 bigint, r2 bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>, packed binary"
 
 
@@ -102,29 +104,43 @@ def minima(items: np.ndarray, count: int) -> np.ndarray:
     return least
 
 
-def _sets(words: int, bands: int, rows: int, low_bits: int):
+def _sets(words: int, bands: int, rows: int, low_bits: int, counting: bool = False):
+    """A row for each text; counting, also COUNTS rows of a task: in r1 a block of slots, in packed how many shingles fall into each, 65535 at most."""
+    types = [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.binary()]
+    names = ["doc_id", "r1", "r2", "n_shingles", "s1", "s2", "bands", "packed"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                out = []
+                out, every = [], []
                 for *row, text in zip(*(c.to_pylist() for c in part.columns)):
                     items = shingles(text, words)
                     if not len(items):
                         out.append((*row, 0, None, None, None, None))
                         continue
+                    every.append(items)
                     data = items.tobytes()
                     least = minima(items, bands * rows)
                     keys = [xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(least.reshape(bands, rows))]
                     bits = (least[:, None] >> np.arange(low_bits, dtype=np.uint32)) & 1
                     s1, s2 = (xxhash.xxh64_intdigest(data, k) for k in (1, 2))
                     out.append((*row, len(items), _signed(s1), _signed(s2), [_signed(x) for x in keys], np.packbits(bits.astype(np.uint8)).tobytes()))
-                types = [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.binary()]
-                names = ["doc_id", "r1", "r2", "n_shingles", "s1", "s2", "bands", "packed"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                if counting and every:
+                    counts += np.bincount(_slots(np.concatenate(every)), minlength=1 << SLOT_BITS)
+        if counting and counts.any():
+            blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
+            out = [(None, k, None, COUNTS, None, None, None, x.tobytes()) for k, x in enumerate(blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return run
 
 
+def _slots(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -224,21 +240,6 @@ def _is_linked(words: int, percent: int):
     return run
 
 
-def _slot_counts(words: int, bits: int):
-    """(block, counts): how many shingles of a task's texts fall into each slot, 65535 at most, a block of slots in a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                items = np.concatenate([shingles(text, words) for text in part.column(0).to_pylist()])
-                counts += np.bincount((items >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        blocks = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLOT_BLOCK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["block", "counts"])
-
-    return run
-
-
 def _levels(group: pa.Table) -> pa.Table:
     """The logarithms of the counts of a block of slots, a byte each."""
     total = np.zeros(SLOT_BLOCK, np.int64)
@@ -247,7 +248,7 @@ def _levels(group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"][:1], "counts": pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())})
 
 
-def _prefixes(words: int, percent: int, bits: int, levels: np.ndarray):
+def _prefixes(words: int, percent: int, levels: np.ndarray):
     """(token, s1, size, place): the first shingles of each set, those of the emptier slots first.
 
     A set linked with this one has at least the threshold's share of it, so of one more shingle than
@@ -267,7 +268,7 @@ def _prefixes(words: int, percent: int, bits: int, levels: np.ndarray):
                     if len(seen) < SEEN:
                         seen.add(s1)
                     first = len(items) + -percent * len(items) // 100 + 1
-                    tokens.append(items[np.argsort(levels[items >> np.uint64(64 - bits)], kind="stable")[:first]].view(np.int64))
+                    tokens.append(items[np.argsort(levels[_slots(items)], kind="stable")[:first]].view(np.int64))
                     count = len(tokens[-1])
                     digests.append(np.full(count, s1))
                     sizes.append(np.full(count, len(items), np.int32))
@@ -305,17 +306,16 @@ def _unlike_bits():
     return run
 
 
-def _prefix_pairs(texts: DataFrame, named: DataFrame, total: int, words: int, percent: int, scratch: Scratch) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, named: DataFrame, counts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): classes with unlike labels that share a shingle of their prefixes and may be linked by their sizes and its places.
 
-    `texts` has one column, `named` (s1, node, label) and `total` is the number of shingles. Every
+    `texts` has one column, `named` (s1, node, label), `counts` (block, counts). Every
     shingle counts for the order; any order gives every linked pair, this one few others. A bucket
     of any size is dealt to the cells of a grid.
     """
-    bits = min(max(int(np.log2(max(total // SLOT_LOAD, 1))), SLOT_BITS[0]), SLOT_BITS[1])
-    counts = texts.mapInArrow(_slot_counts(words, bits), "block int, counts binary").groupBy("block").applyInArrow(_levels, "block int, counts binary")
-    levels = np.frombuffer(b"".join(bytes(r.counts) for r in sorted(counts.collect(), key=lambda r: r.block)), np.uint8)  # a byte for each slot
-    rows = texts.mapInArrow(_prefixes(words, percent, bits, levels), "token bigint, s1 bigint, size int, place int")
+    found = counts.groupBy("block").applyInArrow(_levels, "block long, counts binary").collect()  # a byte for each slot
+    levels = np.frombuffer(b"".join(bytes(r.counts) for r in sorted(found, key=lambda r: r.block)), np.uint8)
+    rows = texts.mapInArrow(_prefixes(words, percent, levels), "token bigint, s1 bigint, size int, place int")
     by = Window.partitionBy("token")
     shared = scratch.cut(rows.withColumns({"lo": F.min("s1").over(by), "hi": F.max("s1").over(by)}).where("lo <> hi").drop("lo", "hi"))
     met = shared.join(named, "s1").select("token", "node", "label", "size", "place").distinct()
@@ -377,13 +377,13 @@ def _row_hashes(id_col: str, text_col: str) -> list[Column]:
     return [h.alias(n) for h, n in zip(hash_pair(7, F.col(id_col), text_of(text_col)), ("r1", "r2"))]
 
 
-def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, low_bits: int = LOW_BITS) -> DataFrame:
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS, low_bits: int = LOW_BITS, counting: bool = False) -> DataFrame:
     """doc_id, r1 and r2 (hash of the row), n_shingles, s1 and s2 (digest of the set), bands, packed.
 
-    The last four are null for an empty set.
+    The last four are null for an empty set. `counting` adds the COUNTS rows of `_sets`.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_row_hashes(id_col, text_col), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_sets(words, bands, rows, low_bits), SETS_DDL)
+    return texts.mapInArrow(_sets(words, bands, rows, low_bits, counting), SETS_DDL)
 
 
 def near_duplicates(
@@ -406,7 +406,8 @@ def near_duplicates(
 def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, bands: int, rows: int, low_bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(uid, doc_id, r1, r2, n_shingles, label) of each row, and (label, best): the row that stays."""
     cut = scratch.cut
-    sets = cut(shingle_sets(docs, id_col, text_col, words, bands, rows, low_bits).withColumn("uid", F.monotonically_increasing_id()))
+    counted = cut(shingle_sets(docs, id_col, text_col, words, bands, rows, low_bits, counting=True).withColumn("uid", F.monotonically_increasing_id()))
+    sets, counts = counted.where(F.col("n_shingles") != COUNTS), counted.where(F.col("n_shingles") == COUNTS).select(F.col("r1").alias("block"), F.col("packed").alias("counts"))
     # One class for each distinct set; its node is the first row that has it.
     full = sets.where("n_shingles > 0")
     classes = cut(full.groupBy("s1", "s2", "n_shingles").agg(F.min("uid").alias("node")))
@@ -484,10 +485,9 @@ def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         scratch.drop(wide)
     scratch.drop(texts, inside, buckets)
     # What no band or estimate has shown: classes that share a shingle of their prefixes.
-    total = full.agg(F.sum("n_shingles")).first()[0]
-    if total:
+    if not counts.isEmpty():
         named = labels.join(classes, "node").select("s1", "node", "label")
-        pairs = _prefix_pairs(docs.select(text_of(text_col).cast("string").alias("text")), named, total, words, percent, scratch)
+        pairs = _prefix_pairs(docs.select(text_of(text_col).cast("string").alias("text")), named, counts, words, percent, scratch)
         if not pairs.isEmpty():
             texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), any_share=False)
             maps = cut(texts.mapInArrow(_maps(words), "node bigint, size bigint, parity binary"))
