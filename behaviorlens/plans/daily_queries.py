@@ -11,6 +11,7 @@ from behaviorlens.operators import baseline as B
 from behaviorlens.operators import daily as D
 from behaviorlens.operators import windows as W
 from behaviorlens.plans import testviews as V
+from behaviorlens.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 WITH = "WITH RECURSIVE " + V.logs_sql()
@@ -115,8 +116,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.daily_features(V.logs(spark, sf_dir))
 
 
-def bootstrap_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = features(spark, sf_dir)
+def bootstrap_z(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    """Deviations of the features `f`, which are made and written once if they aren't given."""
+    f = written(features(spark, sf_dir)) if f is None else f
     return B.deviations(f, floors=B.median_user_std(f))
 
 
@@ -154,7 +156,7 @@ _register("cohort_assignment", lambda s, d: B.assign_cohorts(features(s, d), V.l
 
 
 def cohort_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f, directory = features(spark, sf_dir), V.ldap(spark, sf_dir)
+    f, directory = written(features(spark, sf_dir)), V.ldap(spark, sf_dir)
     priors = B.assign_cohorts(f, directory, MIN_COHORT).join(B.cohort_statistics(f, directory, MIN_COHORT), ["level", "cohort"])
     return B.deviations(f, priors, B.median_user_std(f))
 
@@ -191,16 +193,24 @@ labelled AS (
 
 
 def day_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.window_rows(features(spark, sf_dir).select("user", "day"), WINDOWS)
+    return _windows_of(features(spark, sf_dir))
 
 
-def labelled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.label_windows(day_windows(spark, sf_dir), V.insiders(spark, sf_dir), WINDOWS)
+def _windows_of(f: DataFrame) -> DataFrame:
+    return W.window_rows(f.select("user", "day"), WINDOWS)
 
 
-def z_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user, start, idx, feature, z): the windows are cut once per day, and meet the deviations by (user, day)."""
-    return bootstrap_z(spark, sf_dir).join(day_windows(spark, sf_dir), ["user", "day"])
+def labelled_windows(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    return W.label_windows(day_windows(spark, sf_dir) if f is None else _windows_of(f), V.insiders(spark, sf_dir), WINDOWS)
+
+
+def z_windows(spark: SparkSession, sf_dir: str, f: DataFrame | None = None) -> DataFrame:
+    """(user, start, idx, feature, z): the windows are cut once per day, and meet the deviations by (user, day).
+
+    Both come from the same features, written once.
+    """
+    f = written(features(spark, sf_dir)) if f is None else f
+    return bootstrap_z(spark, sf_dir, f).join(_windows_of(f), ["user", "day"])
 
 
 _register(
@@ -215,7 +225,7 @@ bursts AS (SELECT "user", start, feature, max(s) AS max_burst FROM (SELECT "user
 _register("max_burst", lambda s, d: W.max_bursts(z_windows(s, d)).withColumn("max_burst", F.round("max_burst", 4)), f"{WITH},\n{ZW_SQL},\n{_BURST_SQL}\nSELECT \"user\", start::INT AS start, feature, round(max_burst, 4) AS max_burst FROM bursts")
 _register(
     "window_stats",
-    lambda s, d: W.window_statistics(z_windows(s, d)).select("user", "start", "feature", *[F.round(c, 4).alias(c) for c in ("max_dev", "mean_dev", "std_dev", "trend", "max_burst")], "days_2s", "days_3s"),
+    lambda s, d: W.window_statistics(written(z_windows(s, d))).select("user", "start", "feature", *[F.round(c, 4).alias(c) for c in ("max_dev", "mean_dev", "std_dev", "trend", "max_burst")], "days_2s", "days_3s"),
     f"""{WITH},\n{ZW_SQL},\n{_BURST_SQL},
 st AS (SELECT "user", start, feature, max(abs(z)) AS max_dev, avg(abs(z)) AS mean_dev, stddev_pop(z) AS std_dev, coalesce(regr_slope(z, idx), 0) AS trend,
        count(*) FILTER (abs(z) > 2) AS days_2s, count(*) FILTER (abs(z) > 3) AS days_3s FROM zw GROUP BY ALL)

@@ -11,6 +11,7 @@ from behaviorlens.operators import evaluation as E
 from behaviorlens.operators import similarity as S
 from behaviorlens.plans import daily_queries as DQ
 from behaviorlens.plans import testviews as V
+from behaviorlens.sources.store import written
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,8 +66,9 @@ SELECT tn, fp, fn, tp, round(p, 6) AS precision, round(r, 6) AS recall, round(2
 
 def flagged_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows with their mean |z| as the score."""
-    mean = DQ.z_windows(spark, sf_dir).groupBy("user", "start").agg(F.round(F.avg(F.abs("z")), 5).alias("prob"))
-    return DQ.labelled_windows(spark, sf_dir).join(mean, ["user", "start"])
+    f = written(DQ.features(spark, sf_dir))
+    mean = DQ.z_windows(spark, sf_dir, f).groupBy("user", "start").agg(F.round(F.avg(F.abs("z")), 5).alias("prob"))
+    return DQ.labelled_windows(spark, sf_dir, f).join(mean, ["user", "start"])
 
 
 _FLAGGED_SQL = f"{DQ.WITH},\n{DQ.ZW_SQL},\nfl AS (SELECT l.\"user\", l.window_start, round(avg(abs(z)), 5) AS prob FROM labelled l JOIN zw ON zw.\"user\" = l.\"user\" AND zw.start = l.start GROUP BY l.\"user\", l.start, l.window_start)"

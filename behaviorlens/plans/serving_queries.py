@@ -101,12 +101,13 @@ def mlp_user_day_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def window_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, tuple[str, ...]]:
     """(user, start, label) and the 129 statistics of each labelled window, and their names."""
-    zw = DQ.z_windows(spark, sf_dir)
+    f = written(DQ.features(spark, sf_dir))
+    zw = written(DQ.z_windows(spark, sf_dir, f))
     kinds = ("max_dev", "mean_dev", "std_dev", "days_2s", "days_3s", "trend", "max_burst")
     stats = W.window_statistics(zw).groupBy("user", "start").pivot("feature", list(C.FEATURES)).agg(*[F.first(k).alias(k) for k in kinds])
     rows = stats.join(W.cross_statistics(zw), ["user", "start"])
     names = tuple(c for c in rows.columns if c not in ("user", "start"))
-    return rows.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"]), names
+    return rows.join(DQ.labelled_windows(spark, sf_dir, f).select("user", "start", "label"), ["user", "start"]), names
 
 
 def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,9 +122,10 @@ def gbt_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _network_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled windows as inputs of a network: z of all days and features, and the user's traits; with folds."""
-    windows = W.flattened(DQ.z_windows(spark, sf_dir), C.FEATURES)
+    f = written(DQ.features(spark, sf_dir))
+    windows = written(W.flattened(DQ.z_windows(spark, sf_dir, f), C.FEATURES))
     windows = W.with_traits(windows, S.traits(V.ocean(spark, sf_dir), windows.select("user").distinct()))
-    rows = M.dealt(windows.join(DQ.labelled_windows(spark, sf_dir).select("user", "start", "label"), ["user", "start"]))
+    rows = M.dealt(windows.join(DQ.labelled_windows(spark, sf_dir, f).select("user", "start", "label"), ["user", "start"]))
     return N.keyed(rows, F.col("values"), "user", "start", fold=F.col("fold"))
 
 
