@@ -19,9 +19,10 @@ other component comes out. In a bucket of n members with k outside its largest c
 k * n counts of bits, in cells of bounded size that any number of tasks share; nothing is capped.
 
 What signatures miss is found by prefixes. Shingles have an order, the rarer first; two sets that
-are linked share one among the first few of each, as many as the threshold lets differ. Classes of
-unlike components that share such a shingle are compared on bit maps that can only come out too
-alike, then on their full sets, so no link is left out.
+are linked share one among the first few of each, as many as the threshold lets differ, and some
+more among some more (`_least`). A set of which too few of those are in any other set is linked with
+none, so most sets go no further. Classes of unlike components that share one of the first few are
+compared on bit maps that can only come out too alike, then on their full sets, so no link is left out.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ SLACK = 5.0
 SLOT_BITS, SLOT_BLOCK = 20, 1 << 16
 #: Members of a prefix bucket on each side of a cell, and bits of a map of a set's parities.
 MET, MAP_BITS = 2048, 11
+#: A prefix has a shingle more for each so many of a set.
+SPARE = 20
 #: Digests of sets that a task knows again, at most.
 SEEN = 1_000_000
 
@@ -248,18 +251,38 @@ def _levels(group: pa.Table) -> pa.Table:
     return pa.table({"block": group["block"][:1], "counts": pa.array([np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()], pa.binary())})
 
 
+def _share(size: int, percent: int) -> int:
+    """The least whole number that is the threshold's share of a size."""
+    return -(-percent * size // 100)
+
+
+def _spare(size: int, percent: int) -> int:
+    """How many shingles of a set's prefix its partner has at least, if its own prefix doesn't end first."""
+    return min(1 + size // SPARE, _share(size, percent))
+
+
+def _least(size: Column, percent: int) -> Column:
+    """How many shingles of the prefix of a set so large are in that of a set linked with it, whatever that one's size.
+
+    The prefix that ends first lacks as many shingles of its set as the threshold's share less
+    `_spare`, so of those that both sets have, `_spare` are in it and in the other; the smaller set has fewest.
+    """
+    share = lambda n: F.ceil(percent * n / 100)
+    return F.least(1 + F.floor(share(size) / SPARE), share(share(size)))
+
+
 def _prefixes(words: int, percent: int, levels: np.ndarray):
-    """(token, s1, size, place): the first shingles of each set, those of the emptier slots first.
+    """(token, s1, place): the first shingles of each set, those of the emptier slots first.
 
-    A set linked with this one has at least the threshold's share of it, so of one more shingle than
-    it may lack, it has one. Sets of one shingle are only like themselves. A task gives a set once.
+    A set linked with this one has at least the threshold's share of it, so of `_spare` more shingles
+    than it may lack, it has so many. Sets of one shingle are only like themselves. A task gives a set once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-                tokens, digests, sizes, places = [], [], [], []
+                tokens, digests, places = [], [], []
                 for text in part.column(0).to_pylist():
                     items = shingles(text, words)
                     s1 = _signed(xxhash.xxh64_intdigest(items.tobytes(), 1))
@@ -267,14 +290,13 @@ def _prefixes(words: int, percent: int, levels: np.ndarray):
                         continue
                     if len(seen) < SEEN:
                         seen.add(s1)
-                    first = len(items) + -percent * len(items) // 100 + 1
+                    first = len(items) - _share(len(items), percent) + _spare(len(items), percent)
                     tokens.append(items[np.argsort(levels[_slots(items)], kind="stable")[:first]].view(np.int64))
                     count = len(tokens[-1])
                     digests.append(np.full(count, s1))
-                    sizes.append(np.full(count, len(items), np.int32))
                     places.append(np.arange(count, dtype=np.int32))
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, digests, sizes, places)], ["token", "s1", "size", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, digests, places)], ["token", "s1", "place"])
 
     return run
 
@@ -309,26 +331,37 @@ def _unlike_bits():
 def _prefix_pairs(texts: DataFrame, named: DataFrame, counts: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): classes with unlike labels that share a shingle of their prefixes and may be linked by their sizes and its places.
 
-    `texts` has one column, `named` (s1, node, label), `counts` (block, counts). Every
-    shingle counts for the order; any order gives every linked pair, this one few others. A bucket
-    of any size is dealt to the cells of a grid.
+    `texts` has one column, `named` (s1, node, label, size), `counts` (block, counts). Every
+    shingle counts for the order; any order gives every linked pair, this one few others. Sets that
+    too few others share a prefix with are dropped, first by their shingles alone, then by those of
+    other labels. A bucket of any size is dealt to the cells of a grid.
     """
     found = counts.groupBy("block").applyInArrow(_levels, "block long, counts binary").collect()  # a byte for each slot
     levels = np.frombuffer(b"".join(bytes(r.counts) for r in sorted(found, key=lambda r: r.block)), np.uint8)
-    rows = texts.mapInArrow(_prefixes(words, percent, levels), "token bigint, s1 bigint, size int, place int")
+    rows = texts.mapInArrow(_prefixes(words, percent, levels), "token bigint, s1 bigint, place int")
+
+    def common(rows: DataFrame, name: str) -> DataFrame:
+        """The rows whose token has several values of a column."""
+        by = Window.partitionBy("token")
+        return rows.withColumns({"lo": F.min(name).over(by), "hi": F.max(name).over(by)}).where("lo <> hi").drop("lo", "hi")
+
+    shared = scratch.cut(common(rows, "s1").dropDuplicates(["token", "s1"]))
+    enough = F.col("count") >= _least(F.col("size"), percent)
+    met = shared.join(named.join(shared.groupBy("s1").count(), "s1").where(enough).drop("count"), "s1").select("token", "node", "label", "size", "place")
+    met = scratch.cut(common(met, "label"))
+    left = met.groupBy("node", "size").count().where(enough).select("node")
+    # From here on one shingle that two prefixes without the spare ones have is enough.
+    first = met.where(F.col("place") <= F.col("size") - F.ceil(percent * F.col("size") / 100))
     by = Window.partitionBy("token")
-    shared = scratch.cut(rows.withColumns({"lo": F.min("s1").over(by), "hi": F.max("s1").over(by)}).where("lo <> hi").drop("lo", "hi"))
-    met = shared.join(named, "s1").select("token", "node", "label", "size", "place").distinct()
-    met = met.withColumns({"lo": F.min("label").over(by), "hi": F.max("label").over(by), "k": F.ceil(F.count("*").over(by) / MET)})
-    met = scratch.cut(met.where("lo <> hi").drop("lo", "hi"))
+    last = scratch.cut(common(first.join(left, "node"), "label").withColumn("k", F.ceil(F.count("*").over(by) / MET)))
     own, every = F.pmod(F.xxhash64("node"), F.col("k")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
-    sides = [met.select("token", *[F.col(c).alias(c + s) for c in ("node", "label", "size", "place")], own.alias(x), every.alias(y)) for s, x, y in (("1", "i", "j"), ("2", "j", "i"))]
+    sides = [last.select("token", *[F.col(c).alias(c + s) for c in ("node", "label", "size", "place")], own.alias(x), every.alias(y)) for s, x, y in (("1", "i", "j"), ("2", "j", "i"))]
     like = 100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")
     # The first shingle that two sets share has all others behind it.
     enough = (100 + percent) * (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2"))).cast("long") >= percent * (F.col("size1") + F.col("size2")).cast("long")
     pairs = sides[0].join(sides[1], ["token", "i", "j"]).where((F.col("node1") < F.col("node2")) & (F.col("label1") != F.col("label2")) & like & enough)
     pairs = scratch.cut(pairs.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct())
-    scratch.drop(shared, met)
+    scratch.drop(shared, met, last)
     return pairs
 
 
@@ -424,11 +457,11 @@ def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, pe
         both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", estimate("pa", "pb").alias("estimate"))
         return cut(both.where(F.col("estimate") >= floor))
 
-    def texts_of(nodes: DataFrame, any_share: bool = True) -> DataFrame:
+    def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes; a repeated row gives its text once."""
         wanted = cut(members.join(nodes, "node").select("node", "r1", "r2"))
-        # Any share of the texts may be wanted, so this is a plain shuffle of both sides at every size; else the written size tells.
-        found = docs.select(*_row_hashes(id_col, text_col), text_of(text_col).alias("text")).join(wanted.hint("merge") if any_share else wanted, ["r1", "r2"]).select("node", "text")
+        # Any share of the texts may be wanted, so this is a plain shuffle of both sides at every size.
+        found = docs.select(*_row_hashes(id_col, text_col), text_of(text_col).alias("text")).join(wanted.hint("merge"), ["r1", "r2"]).select("node", "text")
         found = cut(found)
         if found.count() > wanted.count():
             once = cut(found.dropDuplicates(["node"]))
@@ -486,10 +519,10 @@ def _find_components(docs: DataFrame, id_col: str, text_col: str, words: int, pe
     scratch.drop(texts, inside, buckets)
     # What no band or estimate has shown: classes that share a shingle of their prefixes.
     if not counts.isEmpty():
-        named = labels.join(classes, "node").select("s1", "node", "label")
+        named = labels.join(classes, "node").select("s1", "node", "label", F.col("n_shingles").alias("size"))
         pairs = _prefix_pairs(docs.select(text_of(text_col).cast("string").alias("text")), named, counts, words, percent, scratch)
         if not pairs.isEmpty():
-            texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), any_share=False)
+            texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
             maps = cut(texts.mapInArrow(_maps(words), "node bigint, size bigint, parity binary"))
             ends = [maps.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("parity").alias(f"p{s}")) for s in "ab"]
             may = (100 + percent) * _unlike_bits()("pa", "pb") <= (100 - percent) * (F.col("na") + F.col("nb"))

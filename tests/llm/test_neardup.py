@@ -153,3 +153,25 @@ def test_prefix_buckets_in_cells(spark, monkeypatch):
     rows = [(i, " ".join([*words[: 30 + i % 10], f"x{int(rng.integers(0, 9))}"])) for i in range(60)]
     got = neardup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), bands=1, rows=40).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == sorted(map(str, brute(rows)))
+
+
+def test_a_short_passage_in_many_texts_makes_few_pairs(spark, monkeypatch):
+    """With all shingles in one order of their hashes, texts that share a little aren't paired by it; links are all found."""
+    pairs, prefixes, prefix_pairs = [], neardup._prefixes, neardup._prefix_pairs
+    monkeypatch.setattr(neardup, "_prefixes", lambda words, percent, levels: prefixes(words, percent, np.zeros_like(levels)))
+
+    def counted(*args):
+        found = prefix_pairs(*args)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(neardup, "_prefix_pairs", counted)
+    rng = np.random.default_rng(13)
+    vocabulary, head = [f"w{i}" for i in range(5000)], "the head that many texts share word by word"
+    rows = [(i, " ".join([head, *rng.choice(vocabulary, 96)])) for i in range(60)]
+    for i in range(20):  # links, at the threshold and above
+        words = list(rng.choice(vocabulary, int(rng.integers(8, 90))))
+        rows += [(100 + 3 * i + k, " ".join(words + list(rng.choice(vocabulary, (len(words) - 4) // 3 * k // 2)))) for k in range(3)]
+    found = neardup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), bands=1, rows=40).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found) == sorted(map(str, brute(rows)))
+    assert pairs[0] < 150
