@@ -14,7 +14,7 @@ from behaviorlens.plans import testviews as V
 from behaviorlens.sources.graph_cache import GraphCache, content_key
 from behaviorlens.sources.points import PointStore
 from behaviorlens.sources.snapshots import AlertStore
-from behaviorlens.sources.store import FeatureStore, new_folder
+from behaviorlens.sources.store import FeatureStore, new_folder, written
 from behaviorlens.streaming.ingest import LogSink, ingest
 
 QUERIES, ORACLES = {}, {}
@@ -38,7 +38,7 @@ ORACLES["streamed_user_days"] = DQ.ORACLES["user_day_features"]
 def alert_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored alerts after they came in twice and the two highest were blocked and muted."""
     found = SQ.alerts(spark, sf_dir).withColumns({"id": S.alert_id(F.col("user"), F.col("date"), "demo"), "created_at": F.current_timestamp()})
-    found = found.withColumn("top_features", F.transform("top_features", lambda x: x["feature"]))
+    found = written(found.withColumn("top_features", F.transform("top_features", lambda x: x["feature"])))  # made once, though they come in twice
     store = AlertStore(spark, new_folder(spark, "alerts"))
     for _ in range(2):
         store.add(found)

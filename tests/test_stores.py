@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behaviorlens.operators import graph_assembly as GA
+from behaviorlens.plans import ingest_queries as IQ
 from behaviorlens.sources.graph_cache import GraphCache, content_key
 from behaviorlens.sources.points import PointStore
 from behaviorlens.sources.snapshots import AlertStore, SnapshotTable, read_json, write_json
@@ -149,3 +150,18 @@ def test_problems_of_a_graph():
     sound["nodes/user"] |= {"odd_labels": 2, "max_idx": 5}
     sound["edges/http"] |= {"max_dst": 3}
     assert GA.problems(sound) == ["user: 3 nodes are numbered to 5", "user: 2 rows with an odd label", "http: dst is out of bounds"]
+
+
+def test_alerts_that_come_in_twice_are_made_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(5).selectExpr("concat('u', id) AS user", "DATE'2024-01-08' AS date", "id / 10 AS score", "'open' AS status", "array(named_struct('feature', 'a')) AS top_features")
+    monkeypatch.setattr(IQ.SQ, "alerts", lambda s, d: rows.mapInArrow(seen, rows.schema))
+    got = {(r.user, r.status) for r in IQ.alert_lifecycle(spark, "").collect()}
+    assert len(got) == 5 and sum(status == "open" for _, status in got) == 3
+    assert made.value == 5
