@@ -47,3 +47,25 @@ def test_new_points_replace_stored_ones_of_their_key(spark):
     new = spark.createDataFrame([("v1", "a", None, None, None, [9.0]), ("v1", "c", 0.5, "y", 2, [4.0])], ddl)
     got = {(r.version, r.user_id): (r.score, r.department, r.scenario, r.vector) for r in SIM.upsert(stored, new).collect()}
     assert got == {("v1", "a"): (0.0, "", 0, [9.0]), ("v1", "b"): (0.2, "x", 1, [2.0]), ("v2", "a"): (0.3, "x", 1, [3.0]), ("v1", "c"): (0.5, "y", 2, [4.0])}
+
+
+def test_cells_give_what_all_pairs_give(spark, monkeypatch):
+    monkeypatch.setattr(SIM, "CELL_POINTS", 16)
+    monkeypatch.setattr(SIM, "TOGETHER", 7)
+    x = np.random.default_rng(2).standard_normal((90, 6))
+    x[40:60] = x[3]  # more copies than k, which tie by their ids
+    rows = [*x.tolist(), [0.0] * 6, None, [float("nan")] * 6]
+    points = table(spark, rows)
+    unit = {i: np.array(v) / (sum(c * c for c in v) ** 0.5) for i, v in enumerate(rows) if v is not None and any(v)}
+    dot = lambda a, b: sum(float(p) * float(q) for p, q in zip(a, b))
+    scores = {(q, p): dot(unit[p], unit[q]) for q in unit for p in unit if p != q}
+    nearest = lambda ok: {(q, p): r + 1 for q in unit for r, p in enumerate(sorted((p for p in unit if p != q and ok(q, p)), key=lambda p: (-np.nan_to_num(scores[q, p], nan=9), p))[:4])}
+    got = {(r.query_id, r.point_id): r.rank for r in SIM.find_similar(points, points, 4, block_numbers=200).collect()}
+    assert got == nearest(lambda q, p: True)
+    planes = SIM.random_planes(6, 3, 4)
+    signs = {i: [tuple(dot(v, w) >= 0 or np.isnan(v[0]) for w in t) for t in planes] for i, v in unit.items()}
+    found = SIM.lsh_neighbours(points, points, planes, 4)
+    got = {(r.query_id, r.point_id): r.rank for r in found.collect()}
+    assert got == nearest(lambda q, p: any(a == b for a, b in zip(signs[q], signs[p])))
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in (found, SIM.find_similar(points, points, 4))]
+    assert all("FlatMapCoGroupsInArrow" in p and "NestedLoop" not in p for p in plans)  # a task never ranks all its pairs
