@@ -17,8 +17,8 @@ from behaviorlens import config as C
 from behaviorlens.operators.evaluation import folds
 from behaviorlens.sources.store import file_system, shared_folder, written
 
-#: Bytes of a written table that one task of a training takes.
-PART_BYTES = 16 << 20
+#: Bytes of a written table that one task of a training takes, and rows, as long as there are cores for them.
+PART_BYTES, PART_ROWS = 16 << 20, 65_536
 
 
 def assemble(rows: DataFrame, names: tuple[str, ...] = C.FEATURES, out: str = "features") -> DataFrame:
@@ -60,9 +60,10 @@ def dealt(rows: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
 
 
 def compact(table: DataFrame, bytes_of_part: int = PART_BYTES) -> DataFrame:
-    """A written table in parts of about so many bytes."""
+    """A written table in parts of about so many bytes, and in as many as there are cores if each has rows enough."""
     size = sum(fs.getContentSummary(place).getLength() for fs, place in (file_system(table.sparkSession, f) for f in table.inputFiles()))
-    return table.coalesce(max(1, -(-size // bytes_of_part)))
+    busy = min(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // PART_ROWS))
+    return table.coalesce(max(1, -(-size // bytes_of_part), busy))
 
 
 def out_of_fold(rows: DataFrame, fit: Callable[[DataFrame, Column], DataFrame], n: int = 5, seed: int = 42) -> DataFrame:

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 #: Probabilities and the loss stay this far from 0 and 1.
 EDGE = 1e-7
+#: Rows of a block, and blocks as a table: the numbers of each column one after the other.
+BLOCK_ROWS = 8192
+BLOCK_DDL = "n int, key binary, fold binary, x binary, label binary"
 SUM_DDL = "model int, bucket int, n bigint, loss double, total array<double>"
 
 
@@ -173,14 +176,35 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return out
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """The key, fold, inputs and label of the rows in blocks of numbers, which the passes of a training take as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(at, BLOCK_ROWS)
+                kinds = (np.int64, np.int32, np.float64, np.float64)
+                block = [np.ascontiguousarray(a, t).tobytes() for a, t in zip(_arrays(batch, "_key", "_fold", "_x", "label"), kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int32()), *[pa.array([b], pa.binary()) for b in block]], ["n", "key", "fold", "x", "label"])
+
+    return rows.select("_key", "_fold", "_x", "label").mapInArrow(run, BLOCK_DDL)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """key, fold, x and label of each block."""
+    for n, *block in zip(*[batch.column(i) for i in range(5)]):
+        key, fold, x, y = (np.frombuffer(b.as_buffer(), t) for b, t in zip(block, (np.uint64, np.int32, np.float64, np.float64)))
+        yield key, fold, x.reshape(n.as_py(), -1), y
+
+
 def _of_task(work, fan: int):
-    """One row for each model of a task: what `work` adds up over its batches, as {model: (n, loss, total)}."""
+    """One row for each model of a task: what `work` adds up over its blocks, as {model: (n, loss, total)}."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for batch in batches:
-            if batch.num_rows:
-                for model, (n, loss, total) in work(batch).items():
+            for block in _blocks(batch):
+                for model, (n, loss, total) in work(*block).items():
                     a = sums.get(model, (0, 0.0, 0.0))
                     sums[model] = (a[0] + n, a[1] + loss, a[2] + total)
         if sums:
@@ -198,10 +222,10 @@ def _added(group: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], group.schema)
 
 
-def summed(rows: DataFrame, work, tasks: int) -> dict[int, tuple[int, float, np.ndarray]]:
-    """{model: (n, loss, total)} over all rows, added in groups first where there are many tasks."""
+def summed(blocks: DataFrame, work, tasks: int) -> dict[int, tuple[int, float, np.ndarray]]:
+    """{model: (n, loss, total)} over all rows of `packed` blocks, added in groups first where there are many tasks."""
     fan = max(1, int(np.ceil(np.sqrt(tasks))))
-    parts = rows.select("_key", "_fold", "_x", "label").mapInArrow(_of_task(work, fan), SUM_DDL)
+    parts = blocks.mapInArrow(_of_task(work, fan), SUM_DDL)
     if tasks > 16:
         parts = parts.groupBy("model", "bucket").applyInArrow(_added, SUM_DDL)
     out: dict = {}
@@ -211,14 +235,13 @@ def summed(rows: DataFrame, work, tasks: int) -> dict[int, tuple[int, float, np.
     return out
 
 
-def scaling(rows: DataFrame, models: list[int], tasks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def scaling(blocks: DataFrame, models: list[int], tasks: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """{model: (mean, std)} of the inputs of the rows that a model is trained on, with population deviations plus 1e-8."""
 
-    def work(batch: pa.RecordBatch) -> dict:
-        x, fold = _arrays(batch, "_x", "_fold")
+    def work(key: np.ndarray, fold: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
         return {int(k): (int((fold == k).sum()), 0.0, np.concatenate([x[fold == k].sum(axis=0), (x[fold == k] ** 2).sum(axis=0)])) for k in np.unique(fold)}
 
-    by_fold, out = summed(rows, work, tasks), {}
+    by_fold, out = summed(blocks, work, tasks), {}
     for m in models:
         own = [v for k, v in by_fold.items() if k != m or m == -1]
         n, total = sum(v[0] for v in own), sum(v[2] for v in own)
@@ -232,24 +255,23 @@ def fit(rows: DataFrame, training: Training = Training()) -> dict[int, Network]:
 
     `rows` are `keyed` and have `label`, 0 or 1. Without rows to train on there is a ValueError.
     """
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    tasks, blocks = rows.rdd.getNumPartitions(), packed(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         folds = sorted(r[0] for r in rows.select("_fold").distinct().collect())  # as many as folds
         if not folds or len(folds) == 1 and folds != [-1]:
             raise ValueError("there are no rows to fit on")
         nets = {}
-        for k, (mean, std) in scaling(rows, folds, rows.rdd.getNumPartitions()).items():
+        for k, (mean, std) in scaling(blocks, folds, tasks).items():
             nets[k] = initial((len(mean), *training.hidden, 1), mean, std, training.seed)
-        return _steps(rows, nets, training, training.epochs * training.batches)
+        return _steps(blocks, tasks, nets, training, training.epochs * training.batches)
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
-def _steps(rows: DataFrame, nets: dict[int, Network], training: Training, steps: int) -> dict[int, Network]:
-    tasks = rows.rdd.getNumPartitions()
+def _steps(blocks: DataFrame, tasks: int, nets: dict[int, Network], training: Training, steps: int) -> dict[int, Network]:
     optimizers = {k: AdamW(len(n.flat()), training.rate, training.decay, training.clip) for k, n in nets.items()}
     for step in range(steps):
-        for k, (n, _, total) in summed(rows, gradients(nets, step, training), tasks).items():
+        for k, (n, _, total) in summed(blocks, gradients(nets, step, training), tasks).items():
             nets[k] = nets[k].with_flat(optimizers[k](nets[k].flat(), total / n))
     return nets
 
@@ -258,9 +280,8 @@ def gradients(nets: dict[int, Network], step: int, training: Training):
     """The gradients of one step: of the rows whose part of the epoch it is."""
     epoch, part = divmod(step, training.batches)
 
-    def work(batch: pa.RecordBatch) -> dict:
-        key, fold, x, y = _arrays(batch, "_key", "_fold", "_x", "label")
-        key, found = key.view(np.uint64), {}
+    def work(key: np.ndarray, fold: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
+        found = {}
         mine = mixed(key, training.seed, epoch) % np.uint64(training.batches) == part
         for k, net in nets.items():
             use = mine & ((fold != k) | (k == -1))
@@ -313,7 +334,7 @@ def corrected(net: Network, corrections: DataFrame, steps: int = 3, rate: float
     output moves by more than `reach` says.
     """
     training = Training(batches=1, rate=rate, decay=0.0, clip=None, dropout=0.0, alpha=None)
-    return _steps(corrections, {-1: net}, training, steps)[-1]
+    return _steps(packed(corrections), corrections.rdd.getNumPartitions(), {-1: net}, training, steps)[-1]
 
 
 def reach(net: Network, moved: Network, x: np.ndarray) -> np.ndarray:

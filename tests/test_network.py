@@ -115,3 +115,16 @@ def test_no_rows(spark):
     df, _, _ = table(spark)
     with pytest.raises(ValueError):
         N.fit(N.keyed(df.limit(0), F.col("x"), "user", "day"))
+
+
+def test_passes_take_blocks_and_all_cores(spark, tmp_path):
+    from behaviorlens.operators import models as M
+
+    df, x, y = table(spark, n=300)
+    rows = N.keyed(df, F.col("x"), "user", "day")
+    blocks = N.packed(rows.coalesce(1)).collect()
+    assert len(blocks) == 1 and blocks[0].n == 300  # a task passes on one row for many
+    got = sorted(map(tuple, np.frombuffer(blocks[0].x).reshape(300, -1).tolist()))
+    assert got == sorted(map(tuple, x.tolist())) and np.frombuffer(blocks[0].label).sum() == y.sum()
+    spark.range(0, 3 * M.PART_ROWS, 1, 4).write.parquet(str(tmp_path / "rows"))
+    assert M.compact(spark.read.parquet(str(tmp_path / "rows"))).rdd.getNumPartitions() == 3
