@@ -98,18 +98,21 @@ def _segments(path: str, keeps_space: bool, end_id: int, segment_ids: int):
             levels = encode_levels(np.frombuffer(b"".join(held), "<u4"))
             return pa.RecordBatch.from_pylist([{"shard": shard, "segment": number, "first": first, "n_ids": size, "doc_ids": docs, "lengths": lengths, "levels": levels}], SEGMENT)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
-                docs.append(doc_id)
-                held += (ids, end)
-                lengths.append(len(ids) // 4 + 1)
-                size += lengths[-1]
-                if size >= segment_ids:
-                    yield segment()
-                    number, first = number + 1, first + size
-                    docs, lengths, held, size = [], [], [], 0
-        if docs:
-            yield segment()
+        try:
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+                    docs.append(doc_id)
+                    held += (ids, end)
+                    lengths.append(len(ids) // 4 + 1)
+                    size += lengths[-1]
+                    if size >= segment_ids:
+                        yield segment()
+                        number, first = number + 1, first + size
+                        docs, lengths, held, size = [], [], [], 0
+            if docs:
+                yield segment()
+        finally:
+            words.forget()
 
     return run
 

@@ -89,23 +89,26 @@ def _pack(path: str, keeps_space: bool, end_id: int, max_tokens: int, buffer_doc
             out.clear()
             return batch
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                whole = n - n % max_tokens
-                for start in range(0, whole, max_tokens):
-                    piece(doc_id, start, ids[4 * start : 4 * (start + max_tokens)], n, sequence, 0)
-                    sequence += 1
-                if n > whole:
-                    held.append((doc_id, whole, ids[4 * whole :], n))
-                    tokens += n - whole
-                if len(held) >= buffer_docs or tokens >= buffer_tokens:
-                    flush()
-                if len(out) >= 10_000:
-                    yield drain()
-        flush()
-        yield drain()
+        try:
+            for batch in batches:
+                for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(batch.column(1).to_pylist())):
+                    ids += end
+                    n = len(ids) // 4
+                    whole = n - n % max_tokens
+                    for start in range(0, whole, max_tokens):
+                        piece(doc_id, start, ids[4 * start : 4 * (start + max_tokens)], n, sequence, 0)
+                        sequence += 1
+                    if n > whole:
+                        held.append((doc_id, whole, ids[4 * whole :], n))
+                        tokens += n - whole
+                    if len(held) >= buffer_docs or tokens >= buffer_tokens:
+                        flush()
+                    if len(out) >= 10_000:
+                        yield drain()
+            flush()
+            yield drain()
+        finally:
+            words.forget()
 
     return run
 

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words as they stand in texts, and words without their punctuation, that a Python worker remembers.
+#: Words as they stand in texts, and words without their punctuation, that a task remembers.
 KNOWN_WORDS, KNOWN_BASES = 800_000, 1_000_000
 #: Words that go to the library in one text.
 TOGETHER = 512
@@ -49,6 +49,10 @@ class WordEncoder:
         (self.mark_id,) = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_bytes = np.uint32(self.mark_id).tobytes()
         # Words after the start of a line, and after a blank; the same without punctuation.
+        self.forget()
+
+    def forget(self) -> None:
+        """Without any known words, as a task leaves it: a worker that is idle holds no memory for them."""
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.bases: dict[str, dict[str, bytes]] = {"": {"": b""}, " ": {}}
@@ -173,5 +177,5 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
-    """One encoder for a Python worker, which lives through many tasks."""
+    """One encoder for a Python worker, which lives through many tasks; each of them forgets its words."""
     return WordEncoder(path, keeps_space)

@@ -126,3 +126,21 @@ def test_any_token_is_read_without_its_neighbours(spark, tmp_path):
     found = dac.read_tokens(spark, folder, asked.where("position is not null").limit(1))
     plan = found._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(shard), IsNotNull(segment)" in plan and "EqualTo(shard," in plan.replace("In(shard, [", "EqualTo(shard,")
+
+
+def test_a_worker_keeps_no_words_after_a_task(monkeypatch):
+    import pyarrow as pa
+
+    class Task:
+        get = classmethod(lambda cls: cls())
+        partitionId = lambda self: 0
+
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words here", "and some more"]})
+    for module, path, keeps_space, run in (
+        (packing, vocabulary("byte_bpe_50k.json"), True, lambda: packing._pack(vocabulary("byte_bpe_50k.json"), True, 0, 1024, 100, 100_000)),
+        (dac, vocabulary("word_bpe_49k.json"), False, lambda: dac._segments(vocabulary("word_bpe_49k.json"), False, 1, 1000)),
+    ):
+        monkeypatch.setattr(module, "TaskContext", Task)
+        assert sum(b.num_rows for b in run()(iter([rows]))) > 0
+        known = T.encoder(path, keeps_space)
+        assert not known.bare and not known.spaced and known.bases == {"": {"": b""}, " ": {}}
