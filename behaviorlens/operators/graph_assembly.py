@@ -7,6 +7,7 @@ at once, keyed by window_start. Both are a dict of nodes and a dict of edges, wh
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, Window
@@ -115,14 +116,24 @@ def capped(nodes: DataFrame, key: str, most: int | None) -> DataFrame:
     return nodes.withColumn("_r", rank).where(P.any_of(F.col("_r") <= most, *flagged)).drop("_r")
 
 
-def windowed_graph(logs: dict[str, DataFrame], windows: dict, prior_days: int = 60, max_url_nodes: int | None = None, max_file_nodes: int | None = None) -> Graph:
-    """The graphs of all windows at once, keyed by window_start; edges only between nodes of their window."""
+def reaching(windows: dict, starts: list[str]) -> dict:
+    """The windows from the first of some of their starts to the last, with all events that are in them."""
+    last = date.fromisoformat(max(starts)) + timedelta(days=windows["size"] - 1)
+    return {**windows, "first": min(starts), "last": last.isoformat()}
+
+
+def windowed_graph(logs: dict[str, DataFrame], windows: dict, prior_days: int = 60, max_url_nodes: int | None = None, max_file_nodes: int | None = None, once: bool = False) -> Graph:
+    """The graphs of all windows at once, keyed by window_start; edges only between nodes of their window.
+
+    With `once` the nodes are made and written once, for the edges and for whoever asks for them.
+    """
     nodes = {
         "user": window_users(logs, windows),
         "pc": G.window_pc_nodes(logs, windows),
         "url": capped(G.window_url_nodes(logs["http"], windows), "domain", max_url_nodes),
         "file": capped(G.window_file_nodes(logs["file"], windows, prior_days), "filename", max_file_nodes),
     }
+    nodes = {k: written(x) for k, x in nodes.items()} if once else nodes
     edges = {
         "logon": G.window_logon_edges(logs["logon"], windows), "usb": G.window_usb_edges(logs, windows, prior_days), "file": G.window_file_edges(logs["file"], windows, prior_days),
         "email": G.window_email_edges(logs["email"], windows).withColumnsRenamed({"src": "user", "dst": "recipient"}), "http": G.window_http_edges(logs["http"], windows, prior_days),
@@ -134,13 +145,13 @@ def windowed_graph(logs: dict[str, DataFrame], windows: dict, prior_days: int =
 
 
 def numbered_windows(graph: Graph, both_ways: bool = True) -> Graph:
-    """The graphs of all windows with nodes numbered from 0 in each, edges between numbers, and each edge once more from its target as rev_..."""
+    """The graphs of all windows with nodes numbered from 0 in each, edges between numbers, and each edge once more from its target as rev_...; edges are made and written once."""
     ids = {k: written(G.window_ids(x, KEYS[k])) for k, x in graph.nodes.items()}
     nodes = {k: x.join(ids[k], ["window_start", KEYS[k]]) for k, x in graph.nodes.items()}
     observed, edges = {f"edges/{k}": Observation(k) for k in ENDS}, {}
     for k, (source, target) in ENDS.items():
         ends = graph.edges[k].withColumnsRenamed({"user": "src", "recipient" if k == "email" else KEYS[target]: "dst"})
-        edges[k] = G.numbered_edges(ends, ids[source], ids[target], observed[f"edges/{k}"], by=("window_start",))
+        edges[k] = written(G.numbered_edges(ends, ids[source], ids[target], observed[f"edges/{k}"], by=("window_start",)))
         if both_ways:
             edges[f"rev_{k}"] = G.reverse(edges[k])
     return Graph(nodes, edges, observed)

@@ -71,11 +71,11 @@ FROM embeddings WHERE embedding IS NOT NULL AND vec_id % 3 = 1 AND label IN (2,
 
 def numbered_window_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the window graphs by kind, both ways, with the sums of their ends' numbers; from a cache that first holds one window, then all."""
-    logs, cache, starts = V.logs(spark, sf_dir), GraphCache(spark, new_folder(spark, "graphs")), ["2024-01-01", "2024-01-08", "2024-01-15"]
+    logs, cache, starts = {k: written(x) for k, x in V.logs(spark, sf_dir).items()}, GraphCache(spark, new_folder(spark, "graphs")), ["2024-01-01", "2024-01-08", "2024-01-15"]
     key = content_key([], max_url_nodes=None, max_file_nodes=None, prior_days=GQ.PRIOR, **GQ.WINDOWS)
 
-    def build(_: list[str]) -> dict[str, DataFrame]:
-        return GA.numbered_windows(GA.windowed_graph(logs, GQ.WINDOWS, GQ.PRIOR)).edges
+    def build(missing: list[str]) -> dict[str, DataFrame]:
+        return GA.numbered_windows(GA.windowed_graph(logs, GA.reaching(GQ.WINDOWS, missing), GQ.PRIOR, once=True)).edges
 
     cache.tables(key, starts[:1], build)
     parts = [

@@ -165,3 +165,17 @@ def test_alerts_that_come_in_twice_are_made_once(spark, monkeypatch):
     got = {(r.user, r.status) for r in IQ.alert_lifecycle(spark, "").collect()}
     assert len(got) == 5 and sum(status == "open" for _, status in got) == 3
     assert made.value == 5
+
+
+def test_only_missing_windows_are_built_and_each_table_once(spark, monkeypatch):
+    from behaviorlens.operators import graph as G
+    from behaviorlens.plans import graph_queries as GQ
+
+    assert GA.reaching(GQ.WINDOWS, ["2024-01-15", "2024-01-08"]) == {"first": "2024-01-08", "last": "2024-01-28", "size": 14, "stride": 7}
+    events, asked = spark.range(30).select(F.expr("timestamp_ntz'2024-01-01 12:00:00' + make_dt_interval(cast(id as int))").alias("date")), []
+    starts = lambda w: {(str(r.window_start), r.date.day) for r in G.in_windows(events, **w).collect()}
+    assert starts(GA.reaching(GQ.WINDOWS, ["2024-01-08"])) == {x for x in starts(GQ.WINDOWS) if x[0] == "2024-01-08"}
+    build = GA.windowed_graph
+    monkeypatch.setattr(GA, "windowed_graph", lambda logs, windows, *a, **k: asked.append((windows["first"], windows["last"])) or build(logs, windows, *a, **k))
+    out = IQ.numbered_window_graph(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and asked == [("2024-01-01", "2024-01-14"), ("2024-01-08", "2024-01-28")]
