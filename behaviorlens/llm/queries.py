@@ -104,7 +104,7 @@ QUERIES["op5_minhash"] = op5_minhash
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.compare_with_edits(read(spark, sf_dir, "documents"), digests=sketch.word_shingles, full=sketch.FULL)
+    return sketch.compare_with_edits(read(spark, sf_dir, "documents"), digests=sketch.word_pieces, full=sketch.FULL, pieces=True)
 
 
 QUERIES["op6_fingerprints"] = op6_fingerprints

@@ -21,6 +21,10 @@ Of a long text a share of the shingles may do: those whose high bits, a hash of
 words, are below a bound that falls with the length. The bound moves smoothly, and what a lower
 bound keeps a higher one keeps too, so two texts are compared below the lower of their bounds,
 whatever their lengths. Which shingles are kept depends on the words alone, all over the text.
+
+Nothing has to be left out: `word_pieces` ends a piece of the text at each shingle below the bound,
+and a piece is the sum of all its shingles, so each word counts. Pieces of one bound are added up to
+those of a lower one, by which two texts of any lengths have pieces of the same kind.
 """
 
 from __future__ import annotations
@@ -50,6 +54,7 @@ CHECK_BITS = 24
 #: High bits of a digest that bounds are compared with, and those between them and the check.
 RANK_BITS, REST_BITS = 20, 20
 _LOW = (1 << CHECK_BITS) - 1
+_REST = (1 << REST_BITS) - 1 << CHECK_BITS
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -81,7 +86,7 @@ def word_shingles(text: Column, below: Column | None = None) -> Column:
 
     The first shingles are shorter: one ends with every word. White space between words doesn't count.
     """
-    rank, rest = _long(-(1 << 64 - RANK_BITS)), _long((1 << REST_BITS) - 1 << CHECK_BITS)
+    rank, rest = _long(-(1 << 64 - RANK_BITS)), _long(_REST)
 
     def of(words: Column, below: Column) -> Column:
         def digest(w: Column, i: Column) -> Column:
@@ -96,6 +101,45 @@ def word_shingles(text: Column, below: Column | None = None) -> Column:
     return F.array_distinct(F.array_compact(let(hashed, lambda words: let(every, lambda b: of(words, b)))))
 
 
+def word_pieces(text: Column, below: Column | None = None) -> Column:
+    """The whole text as an array of pieces, in order and with repeats: each ends with a shingle whose rank is below a bound, or with the text.
+
+    A piece has the rank of its last shingle and the sum of the other hashes of all its shingles, and no check yet.
+    """
+    rank, rest = _long(-(1 << 64 - RANK_BITS)), _long(_REST)
+
+    def of(words: Column) -> Column:
+        def shingle(w: Column, i: Column) -> Column:
+            before = [F.get(words, i - k) for k in range(1, SHINGLE)]
+            return F.xxhash64(w, before[0]).bitwiseAND(rank).bitwiseOR(F.xxhash64(w, *before).bitwiseAND(rest))
+
+        return F.transform(words, shingle)
+
+    hashed = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+    return merged(let(hashed, of), _long(1 << RANK_BITS) if below is None else below)
+
+
+def merged(pieces: Column, below: Column) -> Column:
+    """Pieces, or single shingles, added up to those of a lower bound."""
+    rest = _long(_REST)
+
+    def cut_up(p: Column, b: Column) -> Column:
+        def piece(end: Column, start: Column) -> Column:
+            total = F.aggregate(F.slice(p, start + 1, end - start), _long(0), lambda n, x: (n + x.bitwiseAND(rest)).bitwiseAND(rest))
+            return F.get(p, end - 1).bitwiseAND(_long(-(1 << 64 - RANK_BITS))).bitwiseOR(total)
+
+        is_end = lambda x, i: (F.shiftrightunsigned(x, 64 - RANK_BITS) < b) | (i + 1 == F.size(p))
+        ends = F.array_compact(F.transform(p, lambda x, i: F.when(is_end(x, i), i + 1)))
+        return let(ends, lambda e: F.transform(e, lambda end, k: piece(end, F.coalesce(F.get(e, k - 1), F.lit(0)))))
+
+    return let(pieces, lambda p: let(below, lambda b: cut_up(p, b)))
+
+
+def set_of(pieces: Column) -> Column:
+    """The distinct pieces as digests."""
+    return F.array_distinct(F.transform(pieces, _checked))
+
+
 def bound(n_chars: Column, full: int | None) -> Column:
     """What the rank of a digest is below, of a text so long; `full` code points have all ranks, as has every text without it."""
     every = _long(1 << RANK_BITS)
@@ -236,7 +280,7 @@ def _neighbours(ids: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("r1", "r2", F.col("x.r1").alias("x1"), F.col("x.r2").alias("x2"), F.col("x.n").alias("xn"))
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column, Column], Column] = digests, full: int | None = None) -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: Callable[[Column, Column], Column] = digests, full: int | None = None, pieces: bool = False) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text has the last third of the code points replaced by the first as many of the
@@ -244,7 +288,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     is the first. One row per input row: doc_id, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next, n_edits (differing digests of the edit), next_id,
     peeled (whether both differences are exact). `digests` makes the set of a text below a bound:
-    of its paragraphs, or `word_shingles`; `full` is as in `bound`. All but the
+    of its paragraphs, or `word_shingles`; `full` is as in `bound`. With `pieces` it makes arrays
+    like those of `word_pieces`, which are compared `merged` below the lower bound of both texts. All but the
     fingerprints, which are made from written digests, is a written table.
 
     Null texts are empty, and an empty text has no piece. Null ids come last by
@@ -260,14 +305,14 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         distinct = scratch.cut(ids.distinct())
         repeated = distinct.count() < docs.count()
         after = scratch.cut(_neighbours(distinct, scratch))
-        found = scratch.cut(_compared(rows.join(after, ["r1", "r2"]), repeated, digests, full))
+        found = scratch.cut(_compared(rows.join(after, ["r1", "r2"]), repeated, digests, full, pieces))
         scratch.keep(found)
     # The digests are written and not their sketches, which are several times as large.
     prints = {"a": "fingerprint", "e": "edited_fingerprint"}
     return found.select("doc_id", "n_chars", "edited_sha256", *[fingerprint(F.col(k)).alias(n) for k, n in prints.items()], "near_edited", "near_next", "n_edits", "next_id", "peeled")
 
 
-def _compared(placed: DataFrame, repeated: bool, digests: Callable[[Column, Column], Column], full: int | None) -> DataFrame:
+def _compared(placed: DataFrame, repeated: bool, digests: Callable[[Column, Column], Column], full: int | None, pieces: bool) -> DataFrame:
     # From each document to the one that it follows: as much of its text as is asked for, and its digests.
     tail = F.substring("text", F.lit(1), F.floor(F.col("xn") / 3).cast("int"))
     given = placed.select("x1", "x2", F.col("doc_id").alias("next_id"), F.col("n").alias("next_chars"), tail.alias("tail"), F.col("own").alias("x"))
@@ -281,17 +326,33 @@ def _compared(placed: DataFrame, repeated: bool, digests: Callable[[Column, Colu
         "doc_id", "next_id", "n_chars", "edited_chars", "next_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
         "a", digests(F.col("edited"), bound(F.col("edited_chars"), full)).alias("e"), "x",
     )
-    both = both.withColumns({f"s{k}": sketch(F.col(k), blocks_of(F.col(k))) for k in "aex"})
-    both = both.withColumns({f"d{k}": difference(F.col("a"), F.col(k), F.col("sa"), F.col(f"s{k}")) for k in "ex"})
-    below = {k: F.least(bound(F.col("n_chars"), full), bound(F.col(n), full)) for k, n in (("e", "edited_chars"), ("x", "next_chars"))}
+    own = {"a": bound(F.col("n_chars"), full), "e": bound(F.col("edited_chars"), full), "x": bound(F.col("next_chars"), full)}
+    below = {k: F.least(own["a"], own[k]) for k in "ex"}
+    if pieces:
+        # Both sides of a comparison have the pieces of the lower bound; `a` itself is sketched once where that is its own.
+        def at(k: str, b: Column) -> Column:
+            return set_of(F.when(own[k] == b, F.col(k)).otherwise(merged(F.col(k), b)))
+
+        both = both.withColumns({"qa": set_of(F.col("a")), "qe": set_of(F.col("e")), **{f"q{k}2": at(k, below[k]) for k in "ex"}})
+        both = both.withColumns({f"a{k}": F.when(own["a"] == below[k], F.col("qa")).otherwise(at("a", below[k])) for k in "ex"})
+        both = both.withColumn("sa", sketch(F.col("qa"), blocks_of(F.col("qa"))))
+        both = both.withColumns({f"s{k}": sketch(F.col(f"q{k}2"), blocks_of(F.col(f"q{k}2"))) for k in "ex"})
+        both = both.withColumns({f"sa{k}": F.when(own["a"] == below[k], F.col("sa")).otherwise(sketch(F.col(f"a{k}"), blocks_of(F.col(f"a{k}")))) for k in "ex"})
+        sides = {k: [F.col(f"a{k}"), F.col(f"q{k}2"), F.col(f"sa{k}"), F.col(f"s{k}")] for k in "ex"}
+        below = dict.fromkeys("ex", _long(1 << RANK_BITS))
+        prints = [F.col("qa").alias("a"), F.col("qe").alias("e")]
+    else:
+        both = both.withColumns({f"s{k}": sketch(F.col(k), blocks_of(F.col(k))) for k in "aex"})
+        sides = {k: [F.col("a"), F.col(k), F.col("sa"), F.col(f"s{k}")] for k in "ex"}
+        prints = [F.col("a"), F.col("e")]
+    both = both.withColumns({f"d{k}": difference(*sides[k]) for k in "ex"})
     return both.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        "a",
-        "e",
-        likeness(F.col("a"), F.col("e"), F.col("de"), below["e"]).alias("near_edited"),
-        likeness(F.col("a"), F.col("x"), F.col("dx"), below["x"]).alias("near_next"),
+        *prints,
+        likeness(*sides["e"][:2], F.col("de"), below["e"]).alias("near_edited"),
+        likeness(*sides["x"][:2], F.col("dx"), below["x"]).alias("near_next"),
         F.size("de.found").cast("long").alias("n_edits"),
         "next_id",
         ((F.col("de.left") == 0) & (F.col("dx.left") == 0)).alias("peeled"),

@@ -9,7 +9,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from behaviorlens.llm import exact, lines, mixing, sketch
+from behaviorlens.llm import exact, lines, mixing, queries, sketch
 from behaviorlens.llm.common import Scratch
 
 SPACE = re.compile(r"[\x20\x09-\x0D]")
@@ -163,6 +163,42 @@ def test_likeness_has_no_jump_at_any_length(spark):
     assert min(found[3:]) > 0.9 and min(found) > 0.6, found
 
 
+def twin_pieces(text, below):
+    """The set of `word_pieces` below a bound, as digests."""
+    hash_of = lambda values, seed=42: seed if not values else hash_of(values[1:], xxhash.xxh64_intdigest(struct.pack("<q", signed(values[0])), seed))
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in text.split()]
+    out, total = set(), 0
+    for i in range(len(words)):
+        rank = hash_of(words[i : max(0, i - 2) - len(words) - 1 : -1][:2]) >> 44
+        total += hash_of(words[max(0, i - 3) : i + 1][::-1]) >> 24 & 0xFFFFF
+        if rank < below or i + 1 == len(words):
+            key = rank << 44 | (total & 0xFFFFF) << 24
+            out.add(key | xxhash.xxh64_intdigest(struct.pack("<q", signed(key)), xxhash.xxh64_intdigest(struct.pack("<i", 9), 42)) & 0xFFFFFF)
+            total = 0
+    return out
+
+
+def test_every_word_of_a_long_text_is_in_its_fingerprint(spark, tmp_path):
+    """The registered query: no word of a long text can change, go or change places unseen, and likeness is that of whole sets of pieces."""
+    rng = np.random.default_rng(8)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 1500)]
+    texts = [words] + [[*words[:i], "other", *words[i + 1 :]] for i in range(0, 1500, 37)] + [words[:700] + words[701:], [*words[:50], *words[54:58], *words[50:54], *words[58:]], words[:900], words[:30], ["same"] * 3000, ["same"] * 3001]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, None), (101, "")]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op6_fingerprints(spark, str(tmp_path)).collect()}
+    assert len({got[i].fingerprint for i in range(len(texts))}) == len(texts)
+    assert got[100].fingerprint == got[101].fingerprint
+    bound = lambda t: 1 << 20 if len(t) <= sketch.FULL else int(float(sketch.FULL << 20) / len(t))
+    order = sorted(rows, reverse=True)
+    for k, (d, t) in enumerate(order):
+        t, x = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 3] + x[: len(t) // 3]
+        assert got[d].peeled and int(got[d].fingerprint[:8], 16) == len(twin_pieces(t, bound(t))), d
+        for y, near in ((edited, got[d].near_edited), (x, got[d].near_next)):
+            a, b = (twin_pieces(z, min(bound(t), bound(y))) for z in (t, y))
+            assert near == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0), d
+
+
 def test_a_filter_on_the_result_is_a_filter_on_a_table(spark):
     docs = table(spark, [(i, f"some words of {i} and more {i * i}") for i in range(20)])
     found = sketch.compare_with_edits(docs, digests=sketch.word_shingles, full=sketch.FULL).where("near_edited < 0.5")
