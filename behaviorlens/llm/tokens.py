@@ -8,9 +8,11 @@ is bounded: once it is full, words met later are encoded for their batch and for
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 
@@ -22,8 +24,9 @@ TOGETHER = 512
 TEXTS, LONG = 256, 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Latin-1 letters, then ASCII punctuation without the apostrophe: these two never share a token.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Latin-1 letters, and after them ASCII punctuation without the apostrophe: these two never share a token.
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
@@ -60,56 +63,55 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids_of(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """The ids of each word. Those that aren't known are encoded, and remembered while there is room."""
-        out = {w: known.get(w) for w in words}
-        new = [w for w, ids in out.items() if ids is None]
-        found = self._encode_new(new, lead)
-        out.update(found)
-        if len(known) < self.known_words:
+    @staticmethod
+    def _remembered(known: dict[str, bytes], words: set[str], room: int, encode: Callable[[list[str]], dict[str, bytes]]) -> dict[str, bytes]:
+        """A table with the ids of each word. Those that aren't known are encoded, and remembered while there is room."""
+        new = words.difference(known)
+        if not new:
+            return known
+        found = encode(list(new))
+        if len(known) < room:
             known.update(found)
-        return out
+            return known
+        found.update((w, known[w]) for w in words - new)
+        return found
+
+    def _ids_of(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
+        return self._remembered(known, words, self.known_words, lambda new: self._encode_new(new, lead))
 
     def _encode_new(self, new: list[str], lead: str) -> dict[str, bytes]:
         """Encodes words; a word and the punctuation after it go apart, and each is encoded once."""
-        bases, tails = self.bases[lead], self.bases[""]
-        parts, whole, todo, ends = [], [], set(), set()
+        plain, tailed, before, after, whole = [], [], [], [], []
+        lower = str if self.keeps_space else str.lower  # a tokenizer that drops blanks lower-cases too
         for w in new:
-            if m := _WORD.fullmatch(w):
-                base, tail = m.groups()
-                if not self.keeps_space:  # it lower-cases too
-                    base = base.lower()
-                parts.append((w, base, tail))
-                if base not in bases:
-                    todo.add(base)
-                if tail not in tails:
-                    ends.add(tail)
-            else:
+            base = w.rstrip(_PUNCTUATION)
+            if not base.isalpha() or not (base.isascii() or _LATIN.fullmatch(base)):
                 whole.append(w)
+            elif len(base) == len(w):
+                plain.append(w)
+            else:  # lists side by side: of tuples the garbage collector would look at each
+                tailed.append(w)
+                before.append(lower(base))
+                after.append(w[len(base) :])
+        bases = self._remembered(self.bases[lead], {*map(lower, plain), *before}, self.known_bases, lambda words: self._encode_words(words, lead))
+        tails = self._remembered(self.bases[""], set(after), self.known_bases, lambda words: self._encode_words(words, ""))
         out = self._encode_words(whole, lead)
-        fresh, fresh_tails = self._encode_words(list(todo), lead), self._encode_words(list(ends), "")
-        for w, base, tail in parts:
-            ids = fresh[base] if base in todo else bases[base]
-            out[w] = ids + (fresh_tails[tail] if tail in ends else tails[tail]) if tail else ids
-        for of, more in ((bases, fresh), (tails, fresh_tails)):
-            if len(of) < self.known_bases:
-                of.update(more)
+        out.update(zip(plain, map(bases.__getitem__, map(lower, plain))))
+        out.update(zip(tailed, map(add, map(bases.__getitem__, before), map(tails.__getitem__, after))))
         return out
 
     def _encode_words(self, new: list[str], lead: str) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         for i in range(0, len(new), TOGETHER):
             part = new[i : i + TOGETHER]
-            ids = np.array(self.tokenizer.encode(lead + (self.glue + lead).join(part), add_special_tokens=False).ids, "<u4")
+            (found,) = self.tokenizer.encode_batch_fast([lead + (self.glue + lead).join(part)], add_special_tokens=False)  # without places in the text
+            ids = np.array(found.ids, "<u4")
             marks = np.flatnonzero(ids == self.mark_id)
             if len(marks) != len(part) - 1:  # a word holds the mark
                 out.update((w, self._whole(lead + w)) for w in part)
                 continue
-            data, ends = ids.tobytes(), [*(4 * marks).tolist(), 4 * len(ids)]
-            start = 0
-            for w, end in zip(part, ends):
-                out[w] = data[start:end]
-                start = end + 4
+            data, ends = ids.tobytes(), (4 * marks).tolist()
+            out.update(zip(part, [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(data)])]))
         return out
 
     @staticmethod
@@ -178,4 +180,5 @@ class WordEncoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
     """One encoder for a Python worker, which lives through many tasks; each of them forgets its words."""
+    gc.set_threshold(100_000)  # tables and lists of words have no cycles, and each young collection goes through the lists
     return WordEncoder(path, keeps_space)
