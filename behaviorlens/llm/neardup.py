@@ -28,6 +28,7 @@ compared on bit maps that can only come out too alike, then on their full sets,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -61,6 +62,7 @@ SPARE = 20
 #: Digests of sets that a task knows again, at most.
 SEEN = 1_000_000
 
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: The n_shingles of a row of counts.
@@ -87,11 +89,19 @@ def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     h = np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
     n = max(1, len(parts) - words + 1)
     out = np.full(n, min(len(parts), words), np.uint64)
-    for k in range(min(words, len(parts))):
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-    return np.unique(out)
-
-
+    for k in range(min(words, len(parts))):  # as _mix, in place
+        out *= _GOLDEN
+        out += h[k : k + n]
+        out ^= out >> np.uint64(30)
+        out *= _MIX1
+        out ^= out >> np.uint64(27)
+        out *= _MIX2
+        out ^= out >> np.uint64(31)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
+
+
+@lru_cache
 def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
     state = _mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return state[:count] | np.uint64(1), state[count:]
@@ -100,11 +110,12 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 def minima(items: np.ndarray, count: int) -> np.ndarray:
     """The least 32-bit value of a set under each of `count` hash functions, a part of the set at a time."""
     a, b = _permutations(count)
-    least = np.full(count, 2**32 - 1, np.uint32)
+    least = np.full(count, 2**64 - 1, np.uint64)
     for i in range(0, len(items), 256):
-        part = ((items[i : i + 256, None] * a + b) >> np.uint64(32)).astype(np.uint32)
-        least = np.minimum(least, part.min(axis=0))
-    return least
+        part = np.multiply.outer(a, items[i : i + 256])
+        part += b[:, None]
+        np.minimum(least, part.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)
 
 
 def _sets(words: int, bands: int, rows: int, low_bits: int, counting: bool = False):

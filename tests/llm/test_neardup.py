@@ -175,3 +175,19 @@ def test_a_short_passage_in_many_texts_makes_few_pairs(spark, monkeypatch):
     found = neardup.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA), bands=1, rows=40).collect()
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in found) == sorted(map(str, brute(rows)))
     assert pairs[0] < 150
+
+
+def test_shingles_and_minima_are_as_their_formulas():
+    rng = np.random.default_rng(11)
+    text = " ".join(f"W{x}" for x in rng.integers(0, 40, 1500))
+    for t in (None, " ", "one", "one two three four five", "a a a a a a a a", text):
+        parts = (t or "").encode().lower().split()
+        h = np.array([neardup.xxhash.xxh64_intdigest(w) for w in parts], np.uint64)
+        want = np.full(max(1, len(parts) - 4), min(len(parts), 5), np.uint64)
+        for k in range(min(5, len(parts))):
+            want = neardup._mix(want * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(want)])
+        got = neardup.shingles(t)
+        assert np.array_equal(got, np.unique(want) if parts else np.zeros(0, np.uint64))
+        a, b = neardup._permutations(128)
+        least = ((got[:, None] * a + b) >> np.uint64(32)).min(axis=0, initial=2**32 - 1)
+        assert neardup.minima(got, 128).dtype == np.uint32 and np.array_equal(neardup.minima(got, 128), least)
